@@ -1,94 +1,135 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded memo of space-separated chunks.
+"""Token ids of whole texts by the tokenizers library, each distinct chunk of a batch encoded once.
 
 The byte-level splitter always cuts where white space follows something that isn't white space, so the ids
-of a text are the ids of its chunks (white space, then the rest) laid end to end. Each worker process keeps
-the ids of chunks it has met; only new chunks are encoded, in one batch. Texts with characters on which the
-splitters disagree about white space, or with anything like a special token, are encoded whole.
+of a text are the ids of its chunks (cut before each such space) laid end to end. Texts are split and their
+chunks numbered by Arrow; chunks that this worker hasn't met are encoded together; ids are then laid out by
+array arithmetic. Texts in which white space stands before a space, with control characters on which splitters
+disagree, or with anything like a special token are encoded whole.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 
-#: Chunks that a worker remembers (about 150 bytes each), and the longest that it remembers.
-MEMO, LONGEST = 1_000_000, 64
-_WHOLE = re.compile("[\x1c-\x1f\x85]|<\\|")
-_RUNS = re.compile(r"\s\s")
-_CHUNK = re.compile(r"\s*\S+|\s+$")
+#: Chunks that a worker remembers (about 40 bytes each), the longest of them, and characters handled at once.
+MEMO, LONGEST, AT_ONCE = 2_000_000, 64, 16_000_000
+_WHOLE = "[\\x1c-\\x1f\u0085]|<\\||[\\s\\x0b   -     　] "
 _MADE: dict[str, Encoder] = {}
 
 
+def _ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """flat[s : s + n] for each (s, n), end to end."""
+    before = np.cumsum(lengths) - lengths
+    return flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.after_space: dict[str, bytes] = {}
-        self.as_is: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         #: Ids whose token begins with a space: one of them opens each chunk that follows a space.
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _after_spaces(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks as they stand after one space. Chunks that neither are empty nor end in white space are
-        encoded as one text, which costs half as much, and cut where a token begins with a space."""
-        easy = [c for c in chunks if c and not c[-1].isspace()]
-        out: dict[str, bytes] = {}
-        for k in range(0, len(easy), 2000):
-            some = easy[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4
-            if len(at) == len(some) + 1 and at[0] == 0:
-                raw, at = ids.tobytes(), at.tolist()
-                out.update((c, raw[a:b]) for c, a, b in zip(some, at, at[1:]))
-        rest = [c for c in chunks if c not in out]
-        out.update(zip(rest, self._batch([" " + c for c in rest]), strict=True))
-        return [out[c] for c in chunks]
-
-    def _look_up(self, memo: dict[str, bytes], lists: list[list[str]], encode: Callable[[list[str]], list[bytes]]) -> list[list[bytes]]:
-        """The ids of each chunk of each list; chunks not met before are encoded together."""
-        if len(memo) > MEMO:
-            memo.clear()
-        found = [list(map(memo.get, chunks)) for chunks in lists]
-        holes = [(x, y) for x, y in zip(lists, found, strict=True) if None in y]
-        need = list({c for chunks, ids in holes for c, i in zip(chunks, ids, strict=True) if i is None})
-        new = dict(zip(need, encode(need), strict=True))
-        for chunks, ids in holes:
-            ids[:] = [new[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
-        memo.update((c, i) for c, i in new.items() if len(c) <= LONGEST)
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as native unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for k in range(0, len(texts), 64):
-            out += self._encode(texts[k : k + 64])
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        spaced, plain = {}, {}
-        for k, text in enumerate(texts):
-            if _WHOLE.search(text):
-                out[k] = self._batch([text])[0]
-            elif _RUNS.search(text):
-                plain[k] = _CHUNK.findall(text)
-            else:
-                chunks = text.split(" ")
-                plain[k], spaced[k] = [chunks[0]], chunks[1:]
-        for memo, lists, encode in ((self.as_is, plain, self._batch), (self.after_space, spaced, self._after_spaces)):
-            for k, ids in zip(lists, self._look_up(memo, list(lists.values()), encode), strict=True):
-                out[k] += b"".join(ids)
-        return out
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: list[pa.Array] = []
+        self.count = 0
+        self.flat: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_spaces(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers for chunks as they stand after one space. Chunks that neither are empty nor end in
+        white space are encoded as one text, which costs half as much, and cut where a token begins with a space."""
+        parts, lengths = [], []
+        for k in range(0, len(chunks), 2000):
+            some = chunks[k : k + 2000]
+            if all(c and not c[-1].isspace() for c in some):
+                ids = self.whole([" " + " ".join(some)])[0]
+                at = np.flatnonzero(self.opens[ids])
+                if len(at) == len(some) and at[0] == 0:
+                    parts.append(ids)
+                    lengths.append(np.diff(at, append=len(ids)))
+                    continue
+            each = self.whole([" " + c for c in some])
+            parts += each
+            lengths.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(parts or [np.zeros(0, np.uint32)]), np.concatenate(lengths or [np.zeros(0, np.int64)])
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A flat array of ids, and where in it each word's ids start and how many they are."""
+        if self.count > MEMO:
+            self.forget()
+        if len(self.known) > 1:
+            self.known, self.flat, self.lengths = [pa.concat_arrays(self.known)], [np.concatenate(self.flat)], [np.concatenate(self.lengths)]
+        at = pc.index_in(words, value_set=self.known[0]) if self.known else pa.nulls(len(words), pa.int32())
+        new = words.filter(at.is_null())
+        # Chunks that can't be encoded jointly come last, so that they don't hold up the others.
+        odd = pc.or_(pc.equal(pc.utf8_length(new), 0), pc.match_substring_regex(new, "[\\s\\x0b\\p{Z}\u0085]$"))
+        new = pa.concat_arrays([new.filter(pc.invert(odd)), new.filter(odd)])
+        ids, lengths = self._after_spaces(new.to_pylist())
+        flat = np.concatenate([*self.flat, ids])
+        counts = np.concatenate([*self.lengths, lengths]).astype(np.int64)
+        starts = np.cumsum(counts) - counts
+        place = np.where(at.is_null().to_numpy(zero_copy_only=False), 0, at.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        if len(new):
+            missed = at.is_null().to_numpy(zero_copy_only=False)
+            place[missed] = self.count + pc.index_in(words.filter(at.is_null()), value_set=new).to_numpy(zero_copy_only=False)
+        short = pc.less_equal(pc.utf8_length(new), LONGEST).to_numpy(zero_copy_only=False)
+        if short.all():
+            self.known.append(new)
+            self.flat.append(ids)
+            self.lengths.append(lengths)
+            self.count += len(new)
+        elif short.any():
+            own = np.cumsum(lengths) - lengths
+            self.known.append(new.filter(pa.array(short)))
+            self.flat.append(_ragged(ids, own[short], lengths[short]))
+            self.lengths.append(lengths[short])
+            self.count += int(short.sum())
+        return flat, starts[place], counts[place]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Per text (no nulls) its ids as unsigned 32-bit integers."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        k = 0
+        while k < len(texts):
+            stop = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + AT_ONCE, side="right")))
+            yield from self._encode(texts.slice(k, stop - k))
+            k = stop
+
+    def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        whole = pc.match_substring_regex(texts, _WHOLE)
+        alone = whole.to_numpy(zero_copy_only=False)
+        aside = iter(self.whole(texts.filter(whole).to_pylist()))
+        lists = pc.split_pattern(texts.filter(pc.invert(whole)).cast(pa.large_string()), " ")
+        bounds = lists.offsets.to_numpy()
+        numbered = lists.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.string()) if len(numbered.dictionary) else pa.array([], pa.string())
+        flat, starts, lengths = self._ids_of(words)
+        chunk = numbered.indices.to_numpy(zero_copy_only=False)
+        # The first chunk of a text follows no space.
+        lead = chunk[bounds[:-1]]
+        kinds, which = np.unique(lead, return_inverse=True)
+        first = self.whole(words.take(pa.array(kinds)).to_pylist())
+        k = 0
+        for skip in alone:
+            if skip:
+                yield next(aside)
+                continue
+            inner = chunk[bounds[k] + 1 : bounds[k + 1]]
+            yield np.concatenate([first[which[k]], _ragged(flat, starts[inner], lengths[inner])])
+            k += 1
 
 
 def encoder(path: str | None = None) -> Encoder:

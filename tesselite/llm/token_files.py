@@ -43,8 +43,8 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, end, enc = TaskContext.get(), np.uint32(end_id).tobytes(), bpe.encoder(tokenizer)
-        ids: list[bytes] = []
+        task, end, enc = TaskContext.get(), np.array([end_id], np.uint32), bpe.encoder(tokenizer)
+        ids: list[np.ndarray] = []
         names: list[int | None] = []
         counts: list[int] = []
         done, k = [], 0
@@ -52,7 +52,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         def close() -> None:
             nonlocal k
             name = f"shard-{task.partitionId():07d}-{k:05d}.wvmx"
-            _put(folder, name, wavelet.dump(np.frombuffer(b"".join(ids), np.uint32), names, counts), task.taskAttemptId())
+            _put(folder, name, wavelet.dump(np.concatenate(ids), names, counts), task.taskAttemptId())
             done.append((name, len(names), sum(counts)))
             for x in (ids, names, counts):
                 x.clear()
@@ -60,10 +60,10 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
 
         held = 0
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            for name, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 ids += (data, end)
                 names.append(name)
-                counts.append(len(data) // 4 + 1)
+                counts.append(len(data) + 1)
                 held += counts[-1]
                 if held >= shard_tokens:
                     close()
