@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, token_files
+from . import exact_dedup, jaccard, mixing, packing, token_files
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_token_files": token_files.op5_token_files,
     "op10_mixing": mixing.op10_mixing,
 }
