@@ -36,6 +36,8 @@ from .words import combine, mix, shingles, slices, word_hashes
 
 #: A token is frequent from this count on, or from the power of two that keeps the table within MOST_FREQUENT.
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
+#: Members of a rare token that are compared with each other at once.
+LONGEST_RUN = 64
 #: Share of each set, by hash, in which tokens are counted; bits of the table of tokens met more than once.
 COUNTED, ACTIVE_BITS = 0.25, 26
 #: Up to this size a set gives all pairs of frequent tokens, beyond it blocks.
@@ -197,7 +199,7 @@ def _cells(column) -> np.ndarray:
 
 
 def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that meet at a rare token and could link. Runs longer than ten times FREQUENT are handed on
+    """Pairs of classes that meet at a rare token and could link. Runs longer than LONGEST_RUN are handed on
     as rows of their own (pair of the class with nothing) for the treatment of combinations."""
 
     def fn(key, group):
@@ -207,26 +209,25 @@ def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
         sig = sig[order]
         bounds = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
         runs = np.diff(bounds)
-        lefts, rights = [], []
-        for n in np.unique(runs[(runs > 1) & (runs <= 10 * FREQUENT)]):
+        size = group.column("size").to_numpy().astype(np.int64)
+        cells = _cells(group.column("cells"))
+        lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in np.unique(runs[(runs > 1) & (runs <= LONGEST_RUN)]):
             starts = bounds[:-1][runs == n]
-            a, b = np.triu_indices(n, 1)
-            for k in range(0, len(starts), step := max(1, 200_000 // len(a))):
+            i, j = np.triu_indices(n, 1)
+            for k in range(0, len(starts), step := max(1, 50_000 // len(i))):
                 s = starts[k : k + step]
-                lefts.append(order[(s[:, None] + a).ravel()])
-                rights.append(order[(s[:, None] + b).ravel()])
-        size = group.column("size").to_numpy()
-        a, b = np.concatenate(lefts or [np.zeros(0, int)]), np.concatenate(rights or [np.zeros(0, int)])
-        fit = 100 * np.minimum(size[a], size[b]).astype(np.int64) >= percent * np.maximum(size[a], size[b]).astype(np.int64)
-        a, b = a[fit], b[fit]
-        if len(a):
-            cells = _cells(group.column("cells")).astype(np.int32)
-            ok = np.concatenate([could_link(cells[x], cells[y], size[x], size[y], percent) for x, y in zip(np.array_split(a, len(a) // 50_000 + 1), np.array_split(b, len(b) // 50_000 + 1), strict=True)])
-            a, b = a[ok], b[ok]
+                a, b = order[(s[:, None] + i).ravel()], order[(s[:, None] + j).ravel()]
+                fit = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+                a, b = a[fit], b[fit]
+                ok = could_link(cells[a], cells[b], size[a], size[b], percent)
+                lefts.append(a[ok])
+                rights.append(b[ok])
+        a, b = np.concatenate(lefts), np.concatenate(rights)
         name = group.column("class").combine_chunks()
         x, y = name.take(pa.array(a)).to_pylist(), name.take(pa.array(b)).to_pylist()
         pairs = list({(p, q) if p < q else (q, p) for p, q in zip(x, y, strict=True) if p != q})
-        long = np.repeat(runs > 10 * FREQUENT, runs)
+        long = np.repeat(runs > LONGEST_RUN, runs)
         rest = group.take(pa.array(order[long])).select([n for n, _ in _INDEX])
         out = pa.table({"a": pa.array([p for p, _ in pairs], pa.binary()), "b": pa.array([q for _, q in pairs], pa.binary())})
         blank = pa.table({n: pa.nulls(len(pairs), t) for n, t in _INDEX})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, inverted_multi_index, jaccard, mixing, packing, token_files
+from . import exact_dedup, inverted_multi_index, jaccard, mixing, packing, token_files, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_token_files": token_files.op5_token_files,
     "op7_inverted_multi_index": inverted_multi_index.op7_inverted_multi_index,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
