@@ -1,6 +1,7 @@
 """Toxicity scores from a counterfactual-regularised classifier.
 
-A logistic model over the words of a text (their presence) is fitted on labelled texts. Every labelled text that
+A logistic model over the words of a text and the beginnings of its words (their presence) is fitted on labelled
+texts, both kinds weighing the same. Every labelled text that
 holds an identity term is paired with copies in which the term is swapped for others; the squared change of the
 model's logit between the two is penalised, so that naming a group by itself moves a score as little as naming
 any other. Labels are learnt from a bounded number of labelled rows of each kind, in the order of a hash of
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 from .words import slices, tokens
 
-#: Labelled rows of each kind that are learnt from at most, words that become features at most, and the least number
-#: of labelled texts that a feature is in.
-LEARNT, FEATURES, LEAST = 10_000, 2_048, 3
+#: Labelled rows of each kind that are learnt from at most, words that become features at most, the least number of
+#: labelled texts that a feature is in, and the lengths of the beginnings of words.
+LEARNT, FEATURES, LEAST, STEMS = 10_000, 2_048, 3, (4, 5)
 PUNCTUATION = "\"'`.,;:!?()[]{}<>*_~#%&$|/\\-–—…«»“”‘’„¿¡"
 #: Words that name a group, by kind: a word is swapped for the others of its kind.
 IDENTITY = (
@@ -46,21 +47,31 @@ IDENTITY = (
 )
 
 
+def forms(words: pa.Array) -> list[pa.Array]:
+    """What each word may be known by: itself without punctuation at its ends, and its first 4 and 5 characters."""
+    own = pc.utf8_trim(words.cast(pa.string()), characters=PUNCTUATION)
+    size = pc.utf8_length(own)
+    short = [pc.if_else(pc.greater(size, n), pc.binary_join_element_wise(pc.utf8_slice_codeunits(own, 0, n), "", "*"), None) for n in STEMS]
+    return [pc.if_else(pc.greater(size, 0), own, None), *short]
+
+
 def features_of(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs: the known words that each text holds, punctuation at their ends aside."""
+    """Distinct (text, feature) pairs: the known forms of words that each text holds."""
     bounds, index, words = tokens(texts)
-    at = pc.index_in(pc.utf8_trim(words.cast(pa.string()), characters=PUNCTUATION), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-    found = at[index] if len(words) else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[found >= 0]
-    pairs = np.unique(of.astype(np.int64) * max(1, len(known)) + found[found >= 0])
-    return pairs // max(1, len(known)), pairs % max(1, len(known))
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.int64)
+    n, pairs = max(1, len(known)), [np.zeros(0, np.int64)]
+    for form in forms(words) if len(words) else []:
+        at = pc.index_in(form, value_set=known, skip_nulls=True).fill_null(-1).to_numpy(zero_copy_only=False)
+        found = at[index]
+        pairs.append(of[found >= 0] * n + found[found >= 0])
+    pairs = np.unique(np.concatenate(pairs))
+    return pairs // n, pairs % n
 
 
 def vocabulary(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The distinct words of texts, and the distinct (text, word) pairs."""
+    """The distinct forms of texts' words, and the distinct (text, form) pairs."""
     _, _, words = tokens(texts)
-    known = pc.unique(pc.utf8_trim(words.cast(pa.string()), characters=PUNCTUATION))
-    known = known.filter(pc.greater(pc.utf8_length(known), 0))
+    known = pc.unique(pa.concat_arrays(forms(words))).drop_null() if len(words) else pa.array([], pa.string())
     return known, *features_of(texts, known)
 
 
@@ -76,7 +87,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 400, rate: float = 0.1) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, penalty: float = 1.0, ridge: float = 2e-5, rounds: int = 600, rate: float = 0.1) -> Model:
     """penalty: weight of the mean squared logit change under identity swaps."""
     toxic = np.asarray(toxic, float)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -88,7 +99,7 @@ def fit(texts: list[str], toxic: np.ndarray, penalty: float = 1.0, ridge: float
     a, b = (np.bincount(word, weights=x[of], minlength=len(known)) for x in (toxic, 1 - toxic))
     gap = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
     z = np.abs(gap) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    z[a + b < LEAST] = -1
+    z[(a + b < LEAST) | (z < 2)] = -1
     terms = pc.is_in(known, value_set=pa.array(sorted({t for g in IDENTITY for t in g}))).to_numpy(zero_copy_only=False)
     z[terms & (a + b > 0)] = np.inf  # identity terms are features always, for the penalty to hold them
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
@@ -111,11 +122,12 @@ def fit(texts: list[str], toxic: np.ndarray, penalty: float = 1.0, ridge: float
     total = sum(pairs.values()) or 1.0
     left, right = (np.array([p[k] for p in pairs], int) for k in (0, 1))
     share = np.array(list(pairs.values())) / total
+    weight = np.where(toxic > 0, 0.5 / n1, 0.5 / n0)
     n, w, bias = len(toxic), np.zeros(len(names) + 1), 0.0  # the last weight stands for no word and stays 0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-(bias + np.bincount(of, weights=w[word], minlength=n))))
-        error = (p - toxic) / n
+        error = (p - toxic) * weight
         g = np.bincount(word, weights=error[of], minlength=len(w)) + ridge * w
         if len(share):
             d = 2 * penalty * share * (w[left] - w[right])

@@ -9,6 +9,10 @@ import xxhash
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _R = np.uint64(33)
+#: Each byte with A-Z lower-cased and the white space 09-0D as a space.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91] += 32
+_PLAIN[9:14] = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,7 +43,11 @@ def slices(texts: pa.Array, at_once: int = 16_000_000) -> list[pa.Array]:
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: bounds of each text's words, each word's number, the
     distinct words. Texts hold no null."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1] or bytes(8), np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = _PLAIN[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]  # by byte: Arrow's own white space takes in bytes of longer characters
+    texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(data))
+    lists = pc.split_pattern(texts, " ")
     bounds = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.flatten()
     bounds = bounds - bounds[0] if len(bounds) else np.zeros(1, np.int64)
