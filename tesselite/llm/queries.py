@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, inverted_multi_index, jaccard, mixing, packing, token_files, toxicity
+from . import exact_dedup, inverted_multi_index, jaccard, language_model, mixing, packing, token_files, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op7_inverted_multi_index": inverted_multi_index.op7_inverted_multi_index,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_language_model": language_model.op9_language_model,
     "op10_mixing": mixing.op10_mixing,
 }
 
