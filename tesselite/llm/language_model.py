@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_of
+from .common import materialize, release, table, text_of
 from .words import combine, mix, slices, word_hashes
 
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
@@ -190,10 +190,11 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text")
     splits, texts = max(parts, -(-(size[0] or 0) // SPLIT_BYTES)), int(size[1] or 0)
     dealt = rows.withColumn("split", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(splits)).cast("int"))
     answers = materialize(counts_of(dealt, parts), "lm-counts")
-    spark._jvm.System.gc()  # lets Spark drop the shuffle files of the texts
+    release(spark)
     total = answers.where("split is null and kind = 0").agg(F.sum("n"), F.sum("v")).first()
     tokens, distinct = int(total[0] or 0), int(total[1] or 0)
     found = materialize(counted(dealt, answers, parts), "lm-documents")
+    release(spark)
     share = weights(found, tokens, distinct, texts)
 
     def add(batches):
