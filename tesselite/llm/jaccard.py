@@ -74,6 +74,11 @@ def could_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
     return 100 * most >= percent * (size_a + size_b - most)
 
 
+def spread(tokens: np.ndarray) -> np.ndarray:
+    """Another hash of tokens: prefixes hold the smallest tokens, so parts can't be ranges of the tokens themselves."""
+    return mix(tokens + np.uint64(0x9E3779B97F4A7C15))
+
+
 def _classes(docs: DataFrame, width: int) -> DataFrame:
     def fn(batches):
         for ids, sets in sets_of(batches, width):
@@ -91,7 +96,10 @@ def _count(docs: DataFrame, width: int, parts: int) -> DataFrame:
         for _, sets in sets_of(batches, width):
             own = [s[: int(np.ceil(COUNTED * len(s)))] for s in sets]
             tokens, counts = np.unique(np.concatenate(own), return_counts=True)
-            cut = np.searchsorted(tokens, np.arange(1, parts, dtype=np.uint64) * span)
+            place = spread(tokens)
+            order = np.argsort(place)
+            tokens, counts, place = tokens[order], counts[order], place[order]
+            cut = np.searchsorted(place, np.arange(1, parts, dtype=np.uint64) * span)
             for k, (t, c) in enumerate(zip(np.split(tokens, cut), np.split(counts.astype(np.uint32), cut), strict=True)):
                 if len(t):
                     yield k, t.tobytes(), c.tobytes()
@@ -109,7 +117,7 @@ def _count(docs: DataFrame, width: int, parts: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         t, c = t[first], np.add.reduceat(c.astype(np.int64), first)
         often = c >= FREQUENT
-        active = np.unique((t[c > 1] >> np.uint64(64 - ACTIVE_BITS)).astype(np.int64))
+        active = np.unique((spread(t[c > 1]) >> np.uint64(64 - ACTIVE_BITS)).astype(np.int64))
         cells = np.bitwise_or.reduceat(np.int64(1) << (active & 63), w := np.flatnonzero(np.diff(active >> 6, prepend=-1))) if len(active) else active
         words = active[w] >> 6 if len(active) else active
         n, m = int(often.sum()), len(words)
@@ -135,7 +143,7 @@ class Order:
         # A partner ranks a shared token at most its own extra tokens later; up to there both have counted it.
         sure = rare < (COUNTED - (100 - self.percent) / self.percent) * n * self.percent / 100
         token = s[rare]
-        cell = (token >> np.uint64(64 - ACTIVE_BITS)).astype(np.int64)
+        cell = (spread(token) >> np.uint64(64 - ACTIVE_BITS)).astype(np.int64)
         alone = sure & ((self.active[cell >> 6] >> (cell & 63)) & 1 == 0)
         return token[~alone], frequent
 
@@ -189,7 +197,7 @@ def _index(docs: DataFrame, width: int, parts: int, order) -> DataFrame:
             sig, owner, kind = np.concatenate(sigs), np.concatenate(owners), np.concatenate(kinds)
             for k in range(0, len(sig), 20_000):
                 o, g = pa.array(owner[k : k + 20_000]), sig[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(kind[k : k + 20_000]), pa.array((g // span).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(names, pa.binary()).take(o), pa.array(sizes, pa.int32()).take(o), pa.array(cells, pa.binary()).take(o)], ["kind", "part", *[n for n, _ in _INDEX]])
+                yield pa.RecordBatch.from_arrays([pa.array(kind[k : k + 20_000]), pa.array((spread(g) // span).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(names, pa.binary()).take(o), pa.array(sizes, pa.int32()).take(o), pa.array(cells, pa.binary()).take(o)], ["kind", "part", *[n for n, _ in _INDEX]])
 
     return docs.mapInArrow(fn, _INDEX_SQL)
 
