@@ -28,7 +28,7 @@ from .words import slices, tokens
 
 #: Labelled rows of each kind that are learnt from at most, words that become features at most, the least number of
 #: labelled texts that a feature is in, and the lengths of the beginnings of words.
-LEARNT, FEATURES, LEAST, STEMS = 10_000, 2_048, 3, (4, 5)
+LEARNT, FEATURES, LEAST, STEMS = 3_000, 2_048, 3, (4, 5)
 PUNCTUATION = "\"'`.,;:!?()[]{}<>*_~#%&$|/\\-–—…«»“”‘’„¿¡"
 #: Words that name a group, by kind: a word is swapped for the others of its kind.
 IDENTITY = (
