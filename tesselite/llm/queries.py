@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, inverted_multi_index, jaccard, language_model, mixing, packing, token_files, toxicity
+from . import exact_dedup, html_extraction, inverted_multi_index, jaccard, language_model, mixing, packing, token_files, toxicity
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.op1_html_extraction,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
