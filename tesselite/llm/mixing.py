@@ -44,18 +44,23 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), max_epochs: float = 3.0) -> Dat
     return s.select("source", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("free.level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, repetitions (whole), extra (words of the
-    fractional repetition), taken = size * repetitions + extra."""
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size"))
-    rows = materialize(rows.withColumn("h", h), "mix-sizes")
-    rows = rows.withColumns({"key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    goal = goal.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
+def _cell(id_col: str, seed: int):
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30))
+
+
+def _key(source_col: str):
+    return F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+
+
+def goals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
+    """One row per source: key, source_size, target, repetitions, rest (words of the fractional repetition), border
+    (the hash cell in which the running sum of sizes passes the rest) and base (the sum before it)."""
+    rows = docs.select(_cell(id_col, seed).alias("h"), _key(source_col).alias("key"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size"))
+    rows = materialize(rows, "mix-sizes")
+    goal = targets(rows.groupBy("source", "key").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    goal = goal.withColumn("key", _key("source")).drop("source")
     reps = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("repetitions", reps).withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("repetitions") * F.col("source_size"))
-    # border: the hash cell in which the running sum of sizes passes the rest; base: the sum before it.
     goal = materialize(goal.withColumns({"border": F.lit(0).cast("long"), "base": F.lit(0).cast("long")}), "mix-goal")
     n = goal.count()
     for shift in (20, 10, 0):
@@ -67,17 +72,45 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         found = cells.groupBy("key").agg(F.min(F.struct("cell", (F.col("up_to") - F.col("in")).alias("base"))).alias("x"))
         found = found.select("key", F.expr(f"shiftleft(x.cell, {shift})").alias("border"), "x.base")
         goal = materialize(goal.drop("border", "base").join(found, "key", "left"), "mix-goal")
-    at = attach(rows, goal, ["key"], "inner", n)
+    return goal
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
+    """All rows and columns of docs and: size, source_size, target, repetitions (whole), extra (words of the
+    fractional repetition), taken = size * repetitions + extra."""
+    goal = goals(docs, id_col, text_col, source_col, weights, max_epochs, seed)
+    goal = goal.select("key", *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "repetitions", "rest", "border", "base")]).withColumnRenamed("key", "__key")
+    rows = docs.withColumns({"__key": _key(source_col), "__h": _cell(id_col, seed), "__size": word_count(text_of(text_col))})
+    rows = attach(rows, goal, ["__key"], "inner")
     # Only rows in the border cell of their source (one of 2**30) are ordered.
-    edge = F.coalesce((F.col("h") == F.col("border")) & (F.col("rest") > 0), F.lit(False))
-    keep = ["id", "source", "size", "source_size", "target", "repetitions"]
-    far = at.where(~edge).select(*keep, F.when((F.col("rest") > 0) & (F.col("h") < F.col("border")), F.col("size")).otherwise(0).alias("extra"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = at.where(edge).withColumn("left", F.col("rest") - F.col("base") - before)
-    near = near.select(*keep, F.greatest(F.lit(0), F.least("size", "left")).alias("extra"))
+    edge = F.coalesce((F.col("__h") == F.col("__border")) & (F.col("__rest") > 0), F.lit(False))
+    far = rows.where(~edge).withColumn("__extra", F.when((F.col("__rest") > 0) & (F.col("__h") < F.col("__border")), F.col("__size")).otherwise(0))
+    order = Window.partitionBy("__key").orderBy(id_col, "__size", F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("__rest") - F.col("__base") - F.coalesce(F.sum("__size").over(order), F.lit(0))
+    near = rows.where(edge).withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), left)))
     out = far.unionByName(near)
-    return out.withColumn("taken", F.col("size") * F.col("repetitions") + F.col("extra")).withColumnRenamed("id", id_col)
+    made = {"size": "__size", "source_size": "__source_size", "target": "__target", "repetitions": "__repetitions", "extra": "__extra"}
+    return out.select(*docs.columns, *[F.col(c).alias(name) for name, c in made.items()], (F.col("__size") * F.col("__repetitions") + F.col("__extra")).cast("long").alias("taken"))
+
+
+def sample(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself, with the columns of docs: every row as often as it is taken whole, and the row on the border of
+    its source once more up to the words that are taken of it."""
+    import re
+
+    find = re.compile(r"[^\x20\x09-\x0D]+")
+
+    @F.pandas_udf("string")
+    def cut(texts, words):
+        return texts.combine(words, lambda t, k: t[: [m.end() for m, _ in zip(find.finditer(t), range(k), strict=False)][-1]])
+
+    mixed = mix(docs, **settings)
+    text = settings.get("text_col", "text")
+    whole = mixed.withColumn("__n", F.col("repetitions") + F.when((F.col("extra") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0))
+    whole = whole.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    part = mixed.where("extra > 0 and extra < size").withColumn(text, cut(F.col(text), F.col("extra")))
+    return whole.select(*docs.columns).unionByName(part.select(*docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")

@@ -180,6 +180,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long"), text_of(text_col)).mapInArrow(fn, f"{id_col} long, score double")
 
 
+def score_of(spark: SparkSession, model: Model, text_col: str = "text"):
+    """The score as a column."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def fn(texts):
+        import pandas as pd
+
+        return pd.Series([float(x) for some in slices(pa.array(texts, pa.large_string())) for x in shared.value.score(some)], dtype="float64")
+
+    return fn(text_of(text_col))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     scored = score(docs, learn(docs, labels))
