@@ -9,8 +9,9 @@ more blocks than two such sets can differ in tokens, so one block at least is eq
 
 Pairs that meet are pruned by size and by an upper bound of their intersection from a small histogram of the
 sets; what is left is verified on the whole sets. Rare tokens compare all members (they are few); a frequent
-combination compares each member with its smallest member, and later, among members that are still in different
-components, those outside the largest component with the rest. So each pair of sets that links is verified or is
+combination compares each member with its smallest member (for a few combinations of each set, which connect large
+groups of copies), and then, where members of any combination are still in different components, those outside its
+largest component with the rest. So each pair of sets that links is verified or is
 already connected, without forming all pairs of a large group of copies.
 
 Token counts only choose the order, on which exactness does not depend: the broadcast table of frequent tokens
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_of
+from .common import materialize, release, table, text_of
 from .words import combine, mix, shingles, slices, word_hashes
 
 #: A token is frequent from this count on, or from the power of two that keeps the table within MOST_FREQUENT.
@@ -40,9 +41,11 @@ FREQUENT, MOST_FREQUENT = 32, 1_000_000
 LONGEST_RUN = 64
 #: Share of each set, by hash, in which tokens are counted; bits of the table of tokens met more than once.
 COUNTED, ACTIVE_BITS = 0.25, 26
-#: Up to this size a set gives all pairs of frequent tokens, beyond it blocks.
-PAIRS_UP_TO = 600
-CELLS = 64
+#: Up to this size a set gives all pairs of frequent tokens, beyond it blocks, for bands of sizes of this ratio.
+PAIRS_UP_TO, BAND = 60, 1.25
+#: Combinations of a class, the smallest by hash, by which large groups of copies are connected first.
+LEAD = 6
+CELLS, FULL = 64, 65535
 
 
 def need(size, percent: int):
@@ -65,12 +68,14 @@ def class_of(tokens: np.ndarray) -> bytes:
 
 def histogram(tokens: np.ndarray) -> np.ndarray:
     """How many tokens fall into each cell; the sum of the smaller counts bounds the intersection of two sets."""
-    return np.bincount((mix(tokens) >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype(np.int32)
+    return np.bincount((mix(tokens) >> np.uint64(58)).astype(np.int64), minlength=CELLS).clip(max=FULL)
 
 
 def could_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether 100 |A and B| >= percent |A or B| is possible, from histograms and sizes alone."""
     most = np.minimum(a, b).sum(axis=1).astype(np.int64)
+    full = ((a == FULL) & (b == FULL)).any(axis=1)  # such a count may be larger
+    most[full] = np.minimum(size_a, size_b)[full]
     return 100 * most >= percent * (size_a + size_b - most)
 
 
@@ -156,10 +161,10 @@ class Order:
             out.append(combine(frequent[a], frequent[b]))
         if n > PAIRS_UP_TO * self.percent / 100:
             ratio = 100 / self.percent
-            band = int(np.floor(np.log(n) / np.log(1.1)))
-            steps = int(np.ceil(np.log(ratio) / np.log(1.1)))
+            band = int(np.floor(np.log(n) / np.log(BAND)))
+            steps = int(np.ceil(np.log(ratio) / np.log(BAND) - 1e-9))
             for k in range(band - steps, band + 1):
-                blocks = int((100 - self.percent) / self.percent * 1.1 ** (k + 1)) + 2
+                blocks = int((100 - self.percent) / self.percent * BAND ** (k + 1)) + 2
                 of = (mix(s ^ np.uint64(0xA5A5)) % np.uint64(blocks)).astype(np.int64)
                 total = np.zeros(blocks, np.uint64)
                 np.add.at(total, of, mix(s))
@@ -172,7 +177,8 @@ _INDEX_SQL = "kind int, part int, sig long, class binary, size int, cells binary
 
 
 def _index(docs: DataFrame, width: int, parts: int, order) -> DataFrame:
-    """Kind 0: rare tokens; kind 1: combinations. Each with its class, the class's size and histogram."""
+    """Kind 0: rare tokens; 1: combinations; 2: the first of these once more. Each with its class and the class's size;
+    kinds 0 and 2 also with the class's histogram."""
     span = np.uint64(2**64 // parts + 1)
 
     def fn(batches):
@@ -186,24 +192,25 @@ def _index(docs: DataFrame, width: int, parts: int, order) -> DataFrame:
                 combos = order.value.combinations(s, frequent)
                 if len(rare) + len(combos) == 0:
                     continue
-                sigs += (rare, combos)
-                kinds.append(np.repeat(np.array([0, 1], np.int32), [len(rare), len(combos)]))
-                owners.append(np.full(len(rare) + len(combos), len(names)))
+                sigs += (rare, combos, combos[:LEAD])
+                n = len(rare), len(combos), len(combos[:LEAD])
+                kinds.append(np.repeat(np.arange(3, dtype=np.int32), n))
+                owners.append(np.full(sum(n), len(names)))
                 names.append(name)
                 sizes.append(len(s))
-                cells.append(histogram(s).astype("<u4").tobytes())
+                cells.append(histogram(s).astype("<u2").tobytes())
             if not names:
                 continue
             sig, owner, kind = np.concatenate(sigs), np.concatenate(owners), np.concatenate(kinds)
             for k in range(0, len(sig), 20_000):
                 o, g = pa.array(owner[k : k + 20_000]), sig[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(kind[k : k + 20_000]), pa.array((spread(g) // span).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(names, pa.binary()).take(o), pa.array(sizes, pa.int32()).take(o), pa.array(cells, pa.binary()).take(o)], ["kind", "part", *[n for n, _ in _INDEX]])
+                yield pa.RecordBatch.from_arrays([pa.array(kind[k : k + 20_000]), pa.array((spread(g) // span).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(names, pa.binary()).take(o), pa.array(sizes, pa.int32()).take(o), pa.array(cells, pa.binary()).take(pa.array(owner[k : k + 20_000], mask=kind[k : k + 20_000] == 1))], ["kind", "part", *[n for n, _ in _INDEX]])
 
     return docs.mapInArrow(fn, _INDEX_SQL)
 
 
 def _cells(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, CELLS)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
 
 
 def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
@@ -250,12 +257,11 @@ def _prune(pairs: DataFrame, percent: int) -> DataFrame:
 
     def fn(batches):
         for x in batches:
-            keep = could_link(_cells(x.column(4)).astype(np.int32), _cells(x.column(5)).astype(np.int32), x.column(2).to_numpy(), x.column(3).to_numpy(), percent) if x.num_rows else np.zeros(0, bool)
+            keep = could_link(_cells(x.column(4)), _cells(x.column(5)), x.column(2).to_numpy(), x.column(3).to_numpy(), percent) if x.num_rows else np.zeros(0, bool)
             yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    fit = 100 * F.least("size_a", "size_b").cast("long") >= percent * F.greatest("size_a", "size_b").cast("long")
-    pairs = pairs.where(fit).select("a", "b", "size_a", "size_b", "cells_a", "cells_b").mapInArrow(fn, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    pairs = pairs.select("a", "b", "size_a", "size_b", "cells_a", "cells_b").mapInArrow(fn, "a binary, b binary")
+    return pairs
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -333,30 +339,36 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = materialize(_index(rows, width, parts, order), "jaccard-index")
     met = materialize(_rare_pairs(index.where("kind = 0"), percent), "jaccard-pairs")
     names = [n for n, _ in _INDEX]
-    many = met.where("a is null").select(*names).unionByName(index.where("kind = 1").select(*names)).dropDuplicates(["sig", "class"])
-    many = materialize(many, "jaccard-many")
-    first = many.groupBy("sig").agg(F.min(F.struct("class", "size", "cells")).alias("p"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.col("sig").alias("s"), F.col("p.class").alias("a"), F.col("p.size").alias("size_a"), F.col("p.cells").alias("cells_a"))
-    member = many.select("sig", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("cells").alias("cells_b"))
-    star = _prune(member.join(first, F.col("sig") == F.col("s")), percent)
+    long = met.where("a is null").select(*names)
+    many = long.unionByName(index.where("kind = 1").select(*names)).select("sig", "class", "size").distinct()
+    lead = materialize(long.unionByName(index.where("kind = 2").select(*names)), "jaccard-lead")
+    first = lead.groupBy("sig").agg(F.min(F.struct("class", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    first = first.select(F.col("sig").alias("s"), F.col("p.class").alias("a"), F.col("p.size").alias("size_a"))
+    fit = lambda: 100 * F.least("size_a", "size_b").cast("long") >= percent * F.greatest("size_a", "size_b").cast("long")
+    star = lead.select("sig", F.col("class").alias("b"), F.col("size").alias("size_b")).join(first, F.col("sig") == F.col("s")).where(fit())
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     pairs = materialize(met.where("a is not null").select("a", "b").unionByName(star).distinct(), "jaccard-pairs")
+    release(spark)
     links = materialize(verify(rows, pairs, width, percent), "jaccard-links")
     root = components(links)
-    if not many.isEmpty():
-        # Members of a combination that are still apart: those outside its largest component against all others.
+    if not lead.isEmpty():
+        # Combinations whose members are still in different components: those outside the largest against all others.
         root = materialize(root, "jaccard-roots")
         at = many.join(root, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
         at = materialize(at, "jaccard-many")
-        held = at.groupBy("sig", "root").agg(F.count("*").alias("n"))
-        main = held.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("k")).where("k > 1").select(F.col("sig").alias("s"), F.col("x.root").alias("main"))
+        split = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("sig").alias("s"))
+        at = materialize(at.join(split, F.col("sig") == F.col("s"), "left_semi"), "jaccard-split")
+        main = at.groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "root")).alias("x")).select(F.col("sig").alias("s"), F.col("x.root").alias("main"))
         open_ = at.join(main, F.col("sig") == F.col("s")).drop("s")
-        stray = open_.where("root <> main").select(F.col("sig").alias("s"), F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("cells").alias("cells_a"), F.col("root").alias("root_a"))
-        fit = 100 * F.least("size_a", "size_b").cast("long") >= percent * F.greatest("size_a", "size_b").cast("long")
-        others = open_.select("sig", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("cells").alias("cells_b"), "root", "main")
-        apart = (F.col("sig") == F.col("s")) & (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))) & fit
-        more = _prune(others.join(stray, apart), percent).join(pairs, ["a", "b"], "left_anti")
-        more = materialize(more, "jaccard-pairs")
+        stray = open_.where("root <> main").select(F.col("sig").alias("s"), F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+        others = open_.select("sig", F.col("class").alias("b"), F.col("size").alias("size_b"), "root", "main")
+        apart = (F.col("sig") == F.col("s")) & (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))) & fit()
+        more = others.join(stray, apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(F.col("a") < F.col("b"), F.col("size_b")).otherwise(F.col("size_a")).alias("size_b")).distinct()
+        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
         if not more.isEmpty():
+            cells = lead.select("class", "cells").dropDuplicates(["class"])
+            more = more.join(cells.select(F.col("class").alias("a"), F.col("cells").alias("cells_a")), "a").join(cells.select(F.col("class").alias("b"), F.col("cells").alias("cells_b")), "b")
+            more = materialize(_prune(more, percent), "jaccard-pairs")
             root = components(links.unionByName(verify(rows, more, width, percent)))
     first_id = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     named = materialize(first_id.join(root, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root")), "jaccard-named")
