@@ -46,7 +46,7 @@ def date_text(x: Column) -> Column:
 
 def _fraction(x: Column) -> Column:
     """0, 3 or 6 digits; sub-microseconds never arise."""
-    micros = F.pmod(F.unix_micros(x), F.lit(1_000_000))
+    micros = F.pmod(F.unix_micros(x.cast("timestamp")), F.lit(1_000_000))
     return F.when(micros == 0, F.lit("")).when(micros % 1000 == 0, F.date_format(x, ".SSS")).otherwise(F.date_format(x, ".SSSSSS"))
 
 
@@ -82,5 +82,5 @@ def date_format(x: Column, strftime: str = "%Y-%m-%d") -> Column:
 
 
 def subtract_seconds(x: Column, seconds: int, strftime: str | None = None) -> Column:
-    moved = F.timestamp_micros(F.unix_micros(x) - F.lit(seconds * 1_000_000))
+    moved = F.timestamp_micros(F.unix_micros(x.cast("timestamp")) - F.lit(seconds * 1_000_000))
     return datetime_text(moved) if strftime is None else date_format(moved, strftime)

@@ -68,7 +68,8 @@ def series(df: DataFrame, key: str, pos, instant: str, fields: Sequence[str], st
     item = F.struct(F.col(instant).alias("__at"), _pos(pos).alias("__pos"), *[F.col(f) for f in fields])
     p = _pos(pos)
     lists = df.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__s"), *[F.min_by(F.struct(F.col(f)), p).getField(f).alias(f) for f in static])
-    return lists.select(key, *static, *[F.transform("__s", lambda x, f=f: x.getField(f)).alias(f) for f in fields])
+    pick = lambda f: F.transform("__s", lambda x: x.getField(f)).alias(f)
+    return lists.select(key, *static, *[pick(f) for f in fields])
 
 
 def series_rows(df: DataFrame, key: str, pos, instant: str) -> DataFrame:
