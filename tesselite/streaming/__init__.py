@@ -1 +1 @@
-
+"""Incremental reads, streams and schedules."""
