@@ -252,16 +252,17 @@ def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
     return index.groupBy("part").applyInArrow(fn, "a binary, b binary, sig long, class binary, size int, cells binary")
 
 
-def _prune(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b, size_a, size_b, cells_a, cells_b) -> those (a, b) that could link."""
+def _as_array(column: str):
+    """A histogram as numbers, inside the JVM."""
+    two = lambda k: F.conv(F.hex(F.substring(column, 2 * k + 2, 1)), 16, 10).cast("int") * 256 + F.conv(F.hex(F.substring(column, 2 * k + 1, 1)), 16, 10).cast("int")
+    return F.array(*[two(k) for k in range(CELLS)])
 
-    def fn(batches):
-        for x in batches:
-            keep = could_link(_cells(x.column(4)), _cells(x.column(5)), x.column(2).to_numpy(), x.column(3).to_numpy(), percent) if x.num_rows else np.zeros(0, bool)
-            yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = pairs.select("a", "b", "size_a", "size_b", "cells_a", "cells_b").mapInArrow(fn, "a binary, b binary")
-    return pairs
+def _could_link(percent: int):
+    """``could_link`` as a condition on size_a, size_b, cells_a and cells_b."""
+    most = F.expr(f"aggregate(zip_with(cells_a, cells_b, (x, y) -> if(least(x, y) = {FULL}, 1000000000, least(x, y))), 0L, (s, x) -> s + x)")
+    most = F.least(most, F.least("size_a", "size_b").cast("long"))
+    return 100 * most >= percent * (F.col("size_a").cast("long") + F.col("size_b") - most)
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -359,16 +360,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         split = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("sig").alias("s"))
         at = materialize(at.join(split, F.col("sig") == F.col("s"), "left_semi"), "jaccard-split")
         main = at.groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "root")).alias("x")).select(F.col("sig").alias("s"), F.col("x.root").alias("main"))
-        open_ = at.join(main, F.col("sig") == F.col("s")).drop("s")
-        stray = open_.where("root <> main").select(F.col("sig").alias("s"), F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-        others = open_.select("sig", F.col("class").alias("b"), F.col("size").alias("size_b"), "root", "main")
-        apart = (F.col("sig") == F.col("s")) & (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))) & fit()
-        more = others.join(stray, apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(F.col("a") < F.col("b"), F.col("size_b")).otherwise(F.col("size_a")).alias("size_b")).distinct()
+        cells = lead.select("class", "cells").dropDuplicates(["class"]).select(F.col("class").alias("c"), _as_array("cells").alias("cells"))
+        open_ = materialize(at.join(main, F.col("sig") == F.col("s")).join(cells, F.col("class") == F.col("c")).drop("s", "c"), "jaccard-open")
+        stray = open_.where("root <> main").select(F.col("sig").alias("s"), F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"), F.col("cells").alias("cells_a"))
+        others = open_.select("sig", F.col("class").alias("b"), F.col("size").alias("size_b"), "root", "main", F.col("cells").alias("cells_b"))
+        # The bound from histograms is part of the join, so pairs that can't link never leave it.
+        apart = (F.col("sig") == F.col("s")) & (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))) & fit() & _could_link(percent)
+        more = others.join(stray, apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
         if not more.isEmpty():
-            cells = lead.select("class", "cells").dropDuplicates(["class"])
-            more = more.join(cells.select(F.col("class").alias("a"), F.col("cells").alias("cells_a")), "a").join(cells.select(F.col("class").alias("b"), F.col("cells").alias("cells_b")), "b")
-            more = materialize(_prune(more, percent), "jaccard-pairs")
             root = components(links.unionByName(verify(rows, more, width, percent)))
     first_id = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     named = materialize(first_id.join(root, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root")), "jaccard-named")

@@ -1,7 +1,7 @@
 """Line deduplication with a log-template tree.
 
 Lines are parsed by a tree of fixed depth: the number of tokens, then the leading tokens (tokens with a digit count
-as variable fields). In a leaf, a token that recurs at its position is constant, any other is a variable field; a
+as variable fields, unless they are half of the line). In a leaf, a token that recurs at its position is constant, any other is a variable field; a
 line's template is its constants in place. Templates whose constants are most of the line and that recur in enough
 different texts are dropped from all documents but the first that holds them (the smallest id, then the first such
 line), so that nothing said only in boilerplate is lost. Equal texts count once, so copies of a whole document are
@@ -44,9 +44,11 @@ def lines_of(texts: pa.Array, leading: int, shortest: int):
     bounds, index, words = tokens(lists.flatten())
     known = hashes(words)
     digits = pc.match_substring_regex(words, "[0-9]").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
-    known[digits] = ANY
-    h = known[index] if len(words) else np.zeros(0, np.uint64)
     n = np.diff(bounds)
+    h, number = (known[index], digits[index]) if len(words) else (np.zeros(0, np.uint64), np.zeros(0, bool))
+    # Tokens with a digit are fields, but where most tokens are such, they are what the line says.
+    share = np.diff(np.concatenate([[0], np.cumsum(number)])[bounds]) if len(h) else np.zeros(len(n))
+    h[number & np.repeat(share * 2 < n, n)] = ANY
     line = np.arange(len(n))
     text = np.repeat(np.arange(len(texts)), np.diff(first))
     keep = np.flatnonzero(n >= max(1, shortest))

@@ -76,8 +76,8 @@ def goals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
-    """All rows and columns of docs and: size, source_size, target, repetitions (whole), extra (words of the
-    fractional repetition), taken = size * repetitions + extra."""
+    """All rows and columns of docs and: mix_size, mix_source_size, mix_target, mix_repetitions (whole), mix_extra (words
+    of the fractional repetition), mix_taken = mix_size * mix_repetitions + mix_extra."""
     goal = goals(docs, id_col, text_col, source_col, weights, max_epochs, seed)
     goal = goal.select("key", *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "repetitions", "rest", "border", "base")]).withColumnRenamed("key", "__key")
     rows = docs.withColumns({"__key": _key(source_col), "__h": _cell(id_col, seed), "__size": word_count(text_of(text_col))})
@@ -89,8 +89,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     left = F.col("__rest") - F.col("__base") - F.coalesce(F.sum("__size").over(order), F.lit(0))
     near = rows.where(edge).withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), left)))
     out = far.unionByName(near)
-    made = {"size": "__size", "source_size": "__source_size", "target": "__target", "repetitions": "__repetitions", "extra": "__extra"}
-    return out.select(*docs.columns, *[F.col(c).alias(name) for name, c in made.items()], (F.col("__size") * F.col("__repetitions") + F.col("__extra")).cast("long").alias("taken"))
+    made = {f"mix_{n}": f"__{n}" for n in ("size", "source_size", "target", "repetitions", "extra")}
+    return out.select(*docs.columns, *[F.col(c).alias(name) for name, c in made.items()], (F.col("__size") * F.col("__repetitions") + F.col("__extra")).cast("long").alias("mix_taken"))
 
 
 def sample(docs: DataFrame, **settings) -> DataFrame:
@@ -106,11 +106,11 @@ def sample(docs: DataFrame, **settings) -> DataFrame:
 
     mixed = mix(docs, **settings)
     text = settings.get("text_col", "text")
-    whole = mixed.withColumn("__n", F.col("repetitions") + F.when((F.col("extra") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0))
+    whole = mixed.withColumn("__n", F.col("mix_repetitions") + F.when((F.col("mix_extra") == F.col("mix_size")) & (F.col("mix_size") > 0), 1).otherwise(0))
     whole = whole.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-    part = mixed.where("extra > 0 and extra < size").withColumn(text, cut(F.col(text), F.col("extra")))
+    part = mixed.where("mix_extra > 0 and mix_extra < mix_size").withColumn(text, cut(F.col(text), F.col("mix_extra")))
     return whole.select(*docs.columns).unionByName(part.select(*docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", *[F.col(f"mix_{n}").alias(n) for n in ("size", "source_size", "target", "taken")])

@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
-from .words import slices, tokens
+from .words import hashes, slices, tokens
 
 #: Labelled rows of each kind that are learnt from at most, words that become features at most, the least number of
 #: labelled texts that a feature is in, and the lengths of the beginnings of words.
-LEARNT, FEATURES, LEAST, STEMS = 3_000, 2_048, 3, (4, 5)
+LEARNT, FEATURES, LEAST, STEMS = 2_000, 2_048, 3, (4, 5)
+#: The logit that the bias is drawn to: a text without evidence is clean.
+WITHOUT = -2.0
 PUNCTUATION = "\"'`.,;:!?()[]{}<>*_~#%&$|/\\-–—…«»“”‘’„¿¡"
 #: Words that name a group, by kind: a word is swapped for the others of its kind.
 IDENTITY = (
@@ -47,10 +49,14 @@ IDENTITY = (
 )
 
 
+TERMS = pa.array(sorted({t for g in IDENTITY for t in g}))
+
+
 def forms(words: pa.Array) -> list[pa.Array]:
-    """What each word may be known by: itself without punctuation at its ends, and its first 4 and 5 characters."""
+    """What each word may be known by: itself without punctuation at its ends, and its first 4 and 5 characters (but not
+    those of identity terms, on which the penalty couldn't act)."""
     own = pc.utf8_trim(words.cast(pa.string()), characters=PUNCTUATION)
-    size = pc.utf8_length(own)
+    size = pc.if_else(pc.is_in(own, value_set=TERMS), min(STEMS), pc.utf8_length(own))
     short = [pc.if_else(pc.greater(size, n), pc.binary_join_element_wise(pc.utf8_slice_codeunits(own, 0, n), "", "*"), None) for n in STEMS]
     return [pc.if_else(pc.greater(size, 0), own, None), *short]
 
@@ -68,11 +74,35 @@ def features_of(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarra
     return pairs // n, pairs % n
 
 
-def vocabulary(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The distinct forms of texts' words, and the distinct (text, form) pairs."""
-    _, _, words = tokens(texts)
-    known = pc.unique(pa.concat_arrays(forms(words))).drop_null() if len(words) else pa.array([], pa.string())
-    return known, *features_of(texts, known)
+def vocabulary(texts: pa.Array, at_once: int = 250) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct forms of words that are in LEAST texts at least, and the distinct (text, form) pairs. Forms are
+    counted by hash and in lots, so that rare ones never stand in memory as text."""
+    total, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for k in range(0, len(texts), at_once):
+        bounds, index, words = tokens(texts.slice(k, at_once))
+        of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.int64)
+        met = []
+        for form in forms(words) if len(words) else []:
+            there = form.is_valid().to_numpy(zero_copy_only=False)
+            h = np.zeros(len(form), np.uint64)
+            h[there] = hashes(form.drop_null())
+            own, number = np.unique(h, return_inverse=True)
+            pair = np.unique((of * len(own) + number[index])[there[index]])
+            met.append(own[pair % len(own)])
+        lot, n = np.unique(np.concatenate(met), return_counts=True) if met else (total[:0], times[:0])
+        both, at = np.unique(np.concatenate([total, lot]), return_inverse=True)
+        total, times = both, np.bincount(at, weights=np.concatenate([times, n]), minlength=len(both)).astype(np.int64)
+    total = total[times >= LEAST]
+    names: set[str] = set()
+    for k in range(0, len(texts), at_once):
+        _, _, words = tokens(texts.slice(k, at_once))
+        for form in forms(words) if len(words) else []:
+            form = pc.unique(form.drop_null())
+            names.update(form.filter(pa.array(np.isin(hashes(form), total))).to_pylist())
+    known = pa.array(sorted(names), pa.string())
+    parts = [(k, features_of(texts.slice(k, at_once), known)) for k in range(0, len(texts), at_once)]
+    none = np.zeros(0, np.int64)
+    return known, np.concatenate([none, *(of + k for k, (of, _) in parts)]), np.concatenate([none, *(f for _, (_, f) in parts)])
 
 
 @dataclass
@@ -100,7 +130,7 @@ def fit(texts: list[str], toxic: np.ndarray, penalty: float = 1.0, ridge: float
     gap = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
     z = np.abs(gap) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     z[(a + b < LEAST) | (z < 2)] = -1
-    terms = pc.is_in(known, value_set=pa.array(sorted({t for g in IDENTITY for t in g}))).to_numpy(zero_copy_only=False)
+    terms = pc.is_in(known, value_set=TERMS).to_numpy(zero_copy_only=False)
     z[terms & (a + b > 0)] = np.inf  # identity terms are features always, for the penalty to hold them
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
     chosen = chosen[z[chosen] > 0]
@@ -134,7 +164,7 @@ def fit(texts: list[str], toxic: np.ndarray, penalty: float = 1.0, ridge: float
             np.add.at(g, left, d)
             np.add.at(g, right, -d)
         g[-1] = 0
-        gb = error.sum()
+        gb = error.sum() + 0.01 * (bias - WITHOUT)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
         bias -= rate * (mb / (1 - 0.9**k)) / (np.sqrt(vb / (1 - 0.99**k)) + 1e-9)
