@@ -430,3 +430,91 @@ def src_29_longitude_fold(spark, sf_dir):
     from .sources.gridded import fold_longitude
 
     return _t(spark, sf_dir, "events").select("event_id", fold_longitude(F.col("value") % 720).alias("lon"))
+
+
+# Further operators
+
+
+@query("""SELECT user_id, event_id, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS high FROM events""")
+def win_06_high_water_mark(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return _t(spark, sf_dir, "events").select("user_id", "event_id", F.max("ts").over(w).alias("high"))
+
+
+@query("""SELECT DISTINCT 'urn:ngsi-ld:Segment:' || c_mktsegment AS id, c_mktsegment AS name FROM customer""")
+def idn_06_expand_synthetic(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    own, _ = resolve.synthetic(c, identity.urn("Segment", F.col("c_mktsegment")), "segment", {"name": F.col("c_mktsegment")}, identity.urn("Customer", F.col("c_custkey")))
+    return own
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'urn:ngsi-ld:C:K-' || (c_custkey % 3) END AS id FROM customer WHERE c_custkey % 3 <> 0""")
+def flt_01_absent_identity(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").withColumn("k", F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 3))
+    out = _templates(c, ["c_custkey"], {"name": "K-{{ k }}"})
+    return out.select("c_custkey", identity.urn("C", F.col("name")).alias("id")).where("id is not null")
+
+
+@query("""SELECT p_partkey, 'urn:ngsi-ld:Tag:' || string_split(p_type, ' ')[1] AS first_tag, len(list_distinct(string_split(p_type, ' '))) AS n FROM part""")
+def joi_04_list_minting(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    ids = F.array_distinct(F.transform(casts.tokens(F.col("p_type")), lambda x: identity.urn("Tag", x)))
+    return p.select("p_partkey", F.get(ids, F.lit(0)).alias("first_tag"), F.size(ids).cast("long").alias("n"))
+
+
+@query("""SELECT o_custkey, arg_min(o_orderstatus, (lane, o_orderkey)) AS status FROM (SELECT *, 0 AS lane FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT *, 1 FROM orders WHERE o_orderkey % 2 = 1) GROUP BY o_custkey""")
+def joi_02_same_mapping_inputs(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    lanes = resolve.union_lanes([o.where("o_orderkey % 2 = 0").withColumn("lane", F.lit(0)), o.where("o_orderkey % 2 = 1").withColumn("lane", F.lit(1))])
+    return resolve.static_merge(lanes, "o_custkey", ["lane", "o_orderkey"], ["o_orderstatus"]).withColumnRenamed("o_orderstatus", "status")
+
+
+@query("""SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS price, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY o_custkey""")
+def agg_05_newest_record(spark, sf_dir):
+    out = resolve.newest(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_orderdate"], ["o_totalprice", "o_orderstatus"])
+    return out.toDF("o_custkey", "price", "status")
+
+
+@query("""SELECT e.event_id, strftime(e.ts, '%Y-%m-%d') AS d, strftime(e.ts, '%H:%M:%S') AS t FROM events e""")
+def cst_12_date_and_time(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select("event_id", temporal.date_text(F.col("ts")).alias("d"), F.substring(temporal.time_text(F.col("ts")), 1, 8).alias("t"))
+
+
+@query("""SELECT event_id, value > 50 AND (event_type = 'view' OR event_type = 'click') AS a, NOT (event_type <> 'view') AS b, event_type IN ('view', 'error') AS c FROM events""")
+def flt_04_logic(spark, sf_dir):
+    return _templates(_t(spark, sf_dir, "events"), ["event_id"], {"a": "{{ value > 50 and (event_type == 'view' or event_type == 'click') }}", "b": "{{ not event_type != 'view' }}", "c": "{{ event_type in ['view', 'error'] }}"})
+
+
+@query("""SELECT s_suppkey, s_name AS name, 'Lab' AS site, 'Lab/' || s_name AS path, 's' AS fixed FROM supplier""")
+def prj_04_vars_and_literals(spark, sf_dir):
+    return _templates(_t(spark, sf_dir, "supplier"), ["s_suppkey"], {"name": "{{ this['s_name'] }}", "site": "{{ vars.site }}", "path": "{{ vars.site ~ '/' ~ s_name }}", "fixed": "s"}, site="Lab")
+
+
+@query("""SELECT user_id, max(ts) AS high, count(*) AS n FROM events WHERE event_id % 2 = 1 AND NOT (event_id % 10 = 1) GROUP BY user_id""")
+def str_06_incremental_positions(spark, sf_dir):
+    from .streaming import incremental
+
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    seen = e.where("event_id % 10 = 1").groupBy(F.col("user_id").cast("string").alias("stream")).agg(F.min("ts").alias("high"), F.collect_list(F.col("event_id").cast("string")).alias("seen"), F.lit(False).alias("missing"))
+    fresh = incremental.unseen(e.where("event_id % 2 = 1"), seen, "user_id", "event_id", "ts", 10**7)
+    return fresh.groupBy("user_id").agg(F.max("ts").alias("high"), F.count("*").alias("n"))
+
+
+@query("""SELECT 'urn:ngsi-ld:Reading:U-' || user_id AS id, arg_max(value, (ts, event_id)) AS reading, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id""")
+def map_01_current_entities(spark, sf_dir):
+    from .plans import mapping
+
+    m = {"version": "v4", "dataModel": "Reading", "identity": {"entityName": "U-{{ user_id }}"}, "attributes": {"kind": {"source": "{{ event_type }}"}, "reading": {"source": "{{ value }}", "transformation": "float", "properties": {"observedAt": {"source": "{{ ts }}"}}}}}
+    out = mapping.run(_t(spark, sf_dir, "events"), m, "event_id", "simplified")
+    return out.select("id", F.get_json_object("entity", "$.reading").cast("double").alias("reading"), F.get_json_object("entity", "$.kind").alias("kind"))
+
+
+@query("""SELECT 'urn:ngsi-ld:Order:' || o_orderkey AS id, 'Order' AS type FROM orders UNION ALL SELECT DISTINCT 'urn:ngsi-ld:Buyer:' || o_custkey, 'Buyer' FROM orders""")
+def map_02_synthetic_entities(spark, sf_dir):
+    from .plans import mapping
+
+    m = {"version": "v4", "dataModel": "Order", "identity": {"entityName": "{{ o_orderkey }}"}, "attributes": {"buyer": {"type": "Relationship", "syntheticEntity": {"dataModel": "Buyer", "identity": {"entityName": "{{ o_custkey }}"}, "attributes": {"key": {"source": "{{ o_custkey }}"}}}}}}
+    return mapping.run(_t(spark, sf_dir, "orders"), m, "o_orderkey", "concise").select("id", "type")
