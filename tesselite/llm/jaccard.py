@@ -10,8 +10,8 @@ more blocks than two such sets can differ in tokens, so one block at least is eq
 Pairs that meet are pruned by size and by an upper bound of their intersection from a small histogram of the
 sets; what is left is verified on the whole sets. Rare tokens compare all members (they are few); a frequent
 combination compares each member with its smallest member (for a few combinations of each set, which connect large
-groups of copies), and then, where members of any combination are still in different components, those outside its
-largest component with the rest. So each pair of sets that links is verified or is
+groups of copies), and then, where members of any combination are still in different components, all that are connected by such
+combinations are compared in blocks by array arithmetic. So each pair of sets that links is verified or is
 already connected, without forming all pairs of a large group of copies.
 
 Token counts only choose the order, on which exactness does not depend: the broadcast table of frequent tokens
@@ -45,7 +45,7 @@ COUNTED, ACTIVE_BITS = 0.25, 26
 PAIRS_UP_TO, BAND = 60, 1.25
 #: Combinations of a class, the smallest by hash, by which large groups of copies are connected first.
 LEAD = 6
-CELLS, FULL = 64, 65535
+CELLS, FULL, BLOCK = 64, 65535, 512
 
 
 def need(size, percent: int):
@@ -252,17 +252,35 @@ def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
     return index.groupBy("part").applyInArrow(fn, "a binary, b binary, sig long, class binary, size int, cells binary")
 
 
-def _as_array(column: str):
-    """A histogram as numbers, inside the JVM."""
-    two = lambda k: F.conv(F.hex(F.substring(column, 2 * k + 2, 1)), 16, 10).cast("int") * 256 + F.conv(F.hex(F.substring(column, 2 * k + 1, 1)), 16, 10).cast("int")
-    return F.array(*[two(k) for k in range(CELLS)])
+def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members (class, size, root, cells, cluster) of one cluster but of different roots that could link. A
+    cluster is dealt into blocks, and each pair of blocks is compared in a task of its own by array arithmetic; only
+    what passes the bound leaves it."""
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).select(F.col("cluster").alias("of"), "n")
+    dealt = members.join(blocks, F.col("cluster") == F.col("of")).drop("of").withColumn("own", F.pmod(F.xxhash64("class"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "size", "root", "cells")
 
-
-def _could_link(percent: int):
-    """``could_link`` as a condition on size_a, size_b, cells_a and cells_b."""
-    most = F.expr(f"aggregate(zip_with(cells_a, cells_b, (x, y) -> if(least(x, y) = {FULL}, 1000000000, least(x, y))), 0L, (s, x) -> s + x)")
-    most = F.least(most, F.least("size_a", "size_b").cast("long"))
-    return 100 * most >= percent * (F.col("size_a").cast("long") + F.col("size_b") - most)
+    def fn(key, group):
+        own, size = group.column("own").to_numpy(), group.column("size").to_numpy().astype(np.int64)
+        cells = _cells(group.column("cells"))
+        _, root = np.unique(np.array(group.column("root").to_pylist(), dtype=object), return_inverse=True)
+        i, j = key[1].as_py(), key[2].as_py()
+        left = np.flatnonzero(own == i)
+        right = np.flatnonzero(own == j)
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, x in enumerate(left):
+            y = right[k + 1 :] if i == j else right
+            y = y[(root[y] != root[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+            if len(y):
+                y = y[could_link(cells[x][None, :], cells[y], np.full(len(y), size[x]), size[y], percent)]
+                found_a.append(np.full(len(y), x))
+                found_b.append(y)
+        name = group.column("class").to_pylist()
+        pairs = [(min(name[x], name[y]), max(name[x], name[y])) for x, y in zip(np.concatenate(found_a), np.concatenate(found_b), strict=True)]
+        return pa.table({"a": pa.array([p for p, _ in pairs], pa.binary()), "b": pa.array([q for _, q in pairs], pa.binary())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(fn, "a binary, b binary")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -353,21 +371,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = materialize(verify(rows, pairs, width, percent), "jaccard-links")
     root = components(links)
     if not lead.isEmpty():
-        # Combinations whose members are still in different components: those outside the largest against all others.
+        # Combinations whose members are still in different components.
         root = materialize(root, "jaccard-roots")
         at = many.join(root, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
         at = materialize(at, "jaccard-many")
         split = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("sig").alias("s"))
         at = materialize(at.join(split, F.col("sig") == F.col("s"), "left_semi"), "jaccard-split")
-        main = at.groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "root")).alias("x")).select(F.col("sig").alias("s"), F.col("x.root").alias("main"))
-        cells = lead.select("class", "cells").dropDuplicates(["class"]).select(F.col("class").alias("c"), _as_array("cells").alias("cells"))
-        open_ = materialize(at.join(main, F.col("sig") == F.col("s")).join(cells, F.col("class") == F.col("c")).drop("s", "c"), "jaccard-open")
-        stray = open_.where("root <> main").select(F.col("sig").alias("s"), F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"), F.col("cells").alias("cells_a"))
-        others = open_.select("sig", F.col("class").alias("b"), F.col("size").alias("size_b"), "root", "main", F.col("cells").alias("cells_b"))
-        # The bound from histograms is part of the join, so pairs that can't link never leave it.
-        apart = (F.col("sig") == F.col("s")) & (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b"))) & fit() & _could_link(percent)
-        more = others.join(stray, apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
+        least = at.groupBy("sig").agg(F.min("class").alias("p")).select(F.col("sig").alias("s"), "p")
+        near = components(at.join(least, F.col("sig") == F.col("s")).select(F.col("class").alias("a"), F.col("p").alias("b")))
+        near = near.select(F.col("node").alias("m"), F.col("root").alias("cluster"))
+        cells = lead.select(F.col("class").alias("c"), "cells").dropDuplicates(["c"])
+        members = at.select("class", "size", "root").distinct().join(cells, F.col("class") == F.col("c")).join(near, F.col("class") == F.col("m"), "left")
+        members = materialize(members.select("class", "size", "root", "cells", F.coalesce("cluster", "class").alias("cluster")), "jaccard-members")
+        more = _in_blocks(members, percent).join(pairs, ["a", "b"], "left_anti")
+        more = materialize(more, "jaccard-more")
         if not more.isEmpty():
             root = components(links.unionByName(verify(rows, more, width, percent)))
     first_id = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
