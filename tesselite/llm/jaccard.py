@@ -335,6 +335,16 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def _merge(root: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) with further links: only roots are joined anew, not all links."""
+    of = lambda c: root.select(F.col("node").alias(f"{c}_"), F.col("root").alias(f"{c}_root"))
+    edges = links.join(of("a"), F.col("a") == F.col("a_"), "left").join(of("b"), F.col("b") == F.col("b_"), "left")
+    edges = edges.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct()
+    new = materialize(components(edges), "jaccard-roots").select(F.col("node").alias("n"), F.col("root").alias("r"))
+    moved = root.join(new, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
+    return moved.unionByName(new.select(F.col("n").alias("node"), F.col("r").alias("root")))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -386,7 +396,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         more = _in_blocks(members, percent).join(pairs, ["a", "b"], "left_anti")
         more = materialize(more, "jaccard-more")
         if not more.isEmpty():
-            root = components(links.unionByName(verify(rows, more, width, percent)))
+            root = _merge(root, verify(rows, more, width, percent))
     first_id = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     named = materialize(first_id.join(root, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root")), "jaccard-named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
