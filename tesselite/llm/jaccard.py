@@ -39,8 +39,8 @@ from .words import combine, mix, shingles, slices, word_hashes
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
 #: Members of a rare token that are compared with each other at once.
 LONGEST_RUN = 64
-#: Share of each set, by hash, in which tokens are counted; bits of the table of tokens met more than once.
-COUNTED, ACTIVE_BITS = 0.25, 26
+#: Bits of the table of tokens met more than once.
+ACTIVE_BITS = 26
 #: Up to this size a set gives all pairs of frequent tokens, beyond it blocks, for bands of sizes of this ratio.
 PAIRS_UP_TO, BAND = 60, 1.25
 #: Combinations of a class, the smallest by hash, by which large groups of copies are connected first.
@@ -48,6 +48,12 @@ LEAD = 6
 CELLS, FULL, BLOCK = 64, 65535, 512
 
 
+def counted_share(percent: int) -> float:
+    """The share of each set, by hash, in which tokens are counted: the prefix, as much again by which a partner may rank
+    a token later, and a quarter more for prefixes that frequent tokens stretch."""
+    return min(1.0, 2.5 * (100 - percent) / percent)
+
+
 def need(size, percent: int):
     """ceil(percent * size / 100)."""
     return -(-percent * size // 100)
@@ -92,14 +98,14 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(fn, "doc_id long, n_shingles long, class binary")
 
 
-def _count(docs: DataFrame, width: int, parts: int) -> DataFrame:
+def _count(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
     """Counts of tokens in the lowest part of each set, by range of hash: per range the frequent tokens with their
     counts, and the cells of the table of active tokens."""
-    span = np.uint64(2**64 // parts + 1)
+    span, share = np.uint64(2**64 // parts + 1), counted_share(percent)
 
     def emit(batches):
         for _, sets in sets_of(batches, width):
-            own = [s[: int(np.ceil(COUNTED * len(s)))] for s in sets]
+            own = [s[: int(np.ceil(share * len(s)))] for s in sets]
             tokens, counts = np.unique(np.concatenate(own), return_counts=True)
             place = spread(tokens)
             order = np.argsort(place)
@@ -146,7 +152,7 @@ class Order:
         rare = np.flatnonzero(~often)[:size]
         frequent = s[often][: size - len(rare)]
         # A partner ranks a shared token at most its own extra tokens later; up to there both have counted it.
-        sure = rare < (COUNTED - (100 - self.percent) / self.percent) * n * self.percent / 100
+        sure = rare < (counted_share(self.percent) - (100 - self.percent) / self.percent) * n * self.percent / 100
         token = s[rare]
         cell = (spread(token) >> np.uint64(64 - ACTIVE_BITS)).astype(np.int64)
         alone = sure & ((self.active[cell >> 6] >> (cell & 63)) & 1 == 0)
@@ -351,7 +357,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long"), text_of(text_col))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes = materialize(_classes(rows, width), "jaccard-classes")
-    counted = materialize(_count(rows, width, parts), "jaccard-counts")
+    counted = materialize(_count(rows, width, percent, parts), "jaccard-counts")
     # The count from which a token is frequent: the least power of two that keeps the table bounded.
     level = F.floor(F.log2("value"))
     limit, total = FREQUENT, 0
