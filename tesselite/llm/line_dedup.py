@@ -1,9 +1,11 @@
 """Line deduplication with a log-template tree.
 
 Lines are parsed by a tree of fixed depth: the number of tokens, then the leading tokens (tokens with a digit count
-as variable fields, unless they are half of the line). In a leaf, a token that recurs at its position is constant, any other is a variable field; a
-line's template is its constants in place. Templates whose constants are most of the line and that recur in enough
-different texts are dropped from all documents but the first that holds them (the smallest id, then the first such
+as variable fields, unless they are half of the line). In a leaf, tokens are judged by how many texts hold them at
+their position, relative to the other tokens of the line: those as frequent as the share ``constant`` of the line's
+tokens are its constants, any other is a variable field, so that it doesn't matter how often a field's values recur
+by themselves in large data; a line's template is its constants in place. Templates that recur in enough different
+texts are dropped from all documents but the first that holds them (the smallest id, then the first such
 line), so that nothing said only in boilerplate is lost. Equal texts count once, so copies of a whole document are
 left to document deduplication.
 
@@ -116,18 +118,20 @@ def dropped_lines(docs: DataFrame, leading: int = LEADING, texts: int = TEXTS, w
                 o = pa.array(of[k : k + 50_000])
                 yield pa.RecordBatch.from_arrays([g.column(0).take(o), g.column(1).take(o), g.column(2).take(o), pa.array(at[k : k + 50_000].astype(np.int32)), pa.array(token[k : k + 50_000]), pa.array(n).take(o)], ["leaf", "hash", "texts", "at", "token", "n"])
 
-    # Lines that recur as they are need no generalising, unless others of their leaf do.
-    spelt = kinds.mapInArrow(places, "leaf long, hash long, texts long, at int, token long, n long")
-    often = spelt.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("s")).where((F.col("s") >= texts) & (F.col("token") != F.lit(int(ANY))))
-    often = often.select(F.col("leaf").alias("l"), F.col("at").alias("a"), F.col("token").alias("t"))
+    # A line's constants are the tokens that at their place are as frequent as its ``constant`` share of tokens.
+    spelt = kinds.mapInArrow(places, "leaf long, hash long, texts long, at int, token long, n long").where(F.col("token") != F.lit(int(ANY)))
+    often = spelt.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("s")).where(F.col("s") >= texts)
+    often = often.select(F.col("leaf").alias("l"), F.col("at").alias("a"), F.col("token").alias("t"), "s")
     held = spelt.join(often, (F.col("leaf") == F.col("l")) & (F.col("at") == F.col("a")) & (F.col("token") == F.col("t")))
-    made = held.groupBy("leaf", "hash").agg(F.first("texts").alias("texts"), F.first("n").alias("n"), F.count("*").alias("kept"), F.bit_xor(F.xxhash64("at", "token")).alias("x"))
-    made = made.where(F.col("kept") >= F.lit(constant) * F.col("n")).withColumn("template", F.xxhash64("leaf", "n", "x"))
-    made = materialize(made, "line-templates")
-    recurring = made.groupBy("template").agg(F.sum("texts").alias("s"), F.first("n").alias("n")).where((F.col("s") >= texts) & (F.col("s") * F.col("n") >= weight)).select(F.col("template").alias("u"))
-    gone = made.join(recurring, F.col("template") == F.col("u")).select(F.col("hash").alias("h"), "template")
-    gone = materialize(gone, "line-gone")
-    uses = materialize(met.select("id", "print", "line", "hash").join(gone, F.col("hash") == F.col("h")).select("id", "print", "line", "template"), "line-uses")
+    made = held.groupBy("leaf", "hash").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("s", "at", "token")), False).alias("places"))
+    made = made.withColumn("k", F.greatest(F.lit(1), F.ceil(F.lit(constant) * F.col("n") - 1e-9)).cast("int")).where(F.size("places") >= F.col("k"))
+    made = made.withColumn("least", F.expr("places[k - 1].s"))
+    made = made.withColumn("template", F.xxhash64("leaf", "n", F.expr("transform(filter(places, p -> p.s >= least), p -> struct(p.at, p.token))")))
+    made = materialize(made.select(F.col("hash").alias("h"), "n", "template"), "line-templates")
+    uses = materialize(met.select("id", "print", "line", "hash").join(made, F.col("hash") == F.col("h")).select("id", "print", "line", "n", "template"), "line-uses")
+    recurring = uses.select("template", "n", "print").distinct().groupBy("template").agg(F.count("*").alias("s"), F.first("n").alias("n"))
+    recurring = recurring.where((F.col("s") >= texts) & (F.col("s") * F.col("n") >= weight)).select(F.col("template").alias("u"))
+    uses = materialize(uses.join(recurring, F.col("template") == F.col("u")).select("id", "print", "line", "template"), "line-gone")
     first = uses.groupBy("template").agg(F.min(F.struct("id", "line")).alias("f")).select(F.col("template").alias("u"), "f")
     first = materialize(first, "line-first")
     rest = uses.join(first, F.col("template") == F.col("u")).where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("line") == F.col("f.line"))))

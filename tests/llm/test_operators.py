@@ -202,6 +202,16 @@ def test_line_dedup(spark, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [20, 400])
+def test_line_dedup_of_fields_with_few_values(spark, size):
+    rows = [(k, f"Posted in section s{'abcde'[k % 5]} by our writer w{'abcdefg'[k % 7]} for readers of r{'abc'[k % 3]} only\nown{k}", "s") for k in range(size)]
+    # Three such lines of one text don't recur.
+    rows.append((size, "\n".join(f"prices of all {x} in the shop of this town are final" for x in ("apples", "pears", "plums")), "s"))
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert [got[k].n_dropped for k in range(size)] == [0] + [1] * (size - 1)
+    assert got[5].text == "own5" and got[size].n_dropped == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(400, 8)).round(2)
