@@ -10,7 +10,8 @@ line), so that nothing said only in boilerplate is lost. Equal texts count once,
 left to document deduplication.
 
 How often is enough depends on length: a template of n tokens must be in at least ``texts`` different texts and in so
-many that n times their number reaches ``weight``; lines of fewer than ``shortest`` tokens stay.
+many that n times their number reaches ``weight``; templates of ``long`` tokens or more recur from two texts on. Lines of
+fewer than ``shortest`` tokens stay.
 
 Only lines of leaves that hold enough texts leave the scan (told by a bit table of fixed size; leaves that get in by
 chance fail the exact counts later). Counting is by distinct line, aggregated before every shuffle.
@@ -32,14 +33,14 @@ from pyspark.sql import functions as F
 from .common import materialize, release, table, text_of
 from .words import hashes, mix, slices, tokens
 
-LEADING, TEXTS, WEIGHT, SHORTEST, CONSTANT = 3, 3, 60, 3, 0.6
+LEADING, TEXTS, WEIGHT, SHORTEST, CONSTANT, LONG, PAIR = 3, 3, 60, 3, 0.6, 50, 2
 ANY = np.uint64(0x2A)
 BITS = 26
 
 
-def lines_of(texts: pa.Array, leading: int, shortest: int):
-    """Per line of at least ``shortest`` tokens: number of its text, of the line in it, tokens, hash of leaf and of line,
-    and bounds into the token hashes."""
+def lines_of(texts: pa.Array, leading: int, shortest: int, long: int = LONG):
+    """Per line of at least ``shortest`` tokens: number of its text, of the line in it, tokens, hash of leaf (whose lowest bit
+    tells lines of ``long`` tokens or more) and of line, and bounds into the token hashes."""
     lists = pc.split_pattern(texts.cast(pa.large_string()), "\n")
     first = lists.offsets.to_numpy().astype(np.int64)
     first = first - first[0]
@@ -58,6 +59,7 @@ def lines_of(texts: pa.Array, leading: int, shortest: int):
     leaf = mix(n.astype(np.uint64))
     for k in range(leading):
         leaf = np.where(n > k, mix(leaf * np.uint64(31) + h[np.minimum(start + k, max(0, len(h) - 1))]) if len(h) else leaf, leaf)
+    leaf = (leaf & ~np.uint64(1)) | (n >= long).astype(np.uint64)
     at = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
     placed = mix(h + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed, dtype=np.uint64)])
@@ -69,19 +71,20 @@ def _fingerprints(texts: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in texts.cast(pa.large_binary()).to_pylist()), np.uint64, len(texts)).view(np.int64)
 
 
-def dropped_lines(docs: DataFrame, leading: int = LEADING, texts: int = TEXTS, weight: int = WEIGHT, shortest: int = SHORTEST, constant: float = CONSTANT) -> DataFrame:
+def dropped_lines(docs: DataFrame, leading: int = LEADING, texts: int = TEXTS, weight: int = WEIGHT, shortest: int = SHORTEST, constant: float = CONSTANT, long: int = LONG) -> DataFrame:
     """docs(id, text) -> id, print (of the text), dropped: numbers of its lines that go."""
     spark = docs.sparkSession
+    enough = lambda leaf: F.when(F.col(leaf).bitwiseAND(F.lit(1)) == 1, F.lit(min(PAIR, texts))).otherwise(F.lit(texts))
 
     def leaves(batches):
         for g in batches:
             for some in slices(g.column(1)):
                 prints = _fingerprints(some)
-                text, _, _, leaf, _, _, _ = lines_of(some, leading, shortest)
+                text, _, _, leaf, _, _, _ = lines_of(some, leading, shortest, long)
                 pairs = np.unique(np.stack([leaf.view(np.int64), prints[text]]), axis=1) if len(text) else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["leaf", "print"])
 
-    full = docs.mapInArrow(leaves, "leaf long, print long").distinct().groupBy("leaf").count().where(F.col("count") >= texts)
+    full = docs.mapInArrow(leaves, "leaf long, print long").distinct().groupBy("leaf").count().where(F.col("count") >= enough("leaf"))
     cell = F.shiftrightunsigned("leaf", 64 - BITS)
     words = full.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int"))).alias("v"))
     bits = np.zeros(1 << (BITS - 6), np.int64)
@@ -94,7 +97,7 @@ def dropped_lines(docs: DataFrame, leading: int = LEADING, texts: int = TEXTS, w
             at = 0
             for some in slices(g.column(1)):
                 prints = _fingerprints(some)
-                text, line, n, leaf, whole, start, h = lines_of(some, leading, shortest)
+                text, line, n, leaf, whole, start, h = lines_of(some, leading, shortest, long)
                 c = (leaf >> np.uint64(64 - BITS)).astype(np.int64)
                 k = np.flatnonzero((shared.value[c >> 6] >> (c & 63)) & 1)
                 raw = [h[s : s + m].tobytes() for s, m in zip(start[k], n[k], strict=True)]
@@ -120,17 +123,17 @@ def dropped_lines(docs: DataFrame, leading: int = LEADING, texts: int = TEXTS, w
 
     # A line's constants are the tokens that at their place are as frequent as its ``constant`` share of tokens.
     spelt = kinds.mapInArrow(places, "leaf long, hash long, texts long, at int, token long, n long").where(F.col("token") != F.lit(int(ANY)))
-    often = spelt.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("s")).where(F.col("s") >= texts)
+    often = spelt.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("s")).where(F.col("s") >= enough("leaf"))
     often = often.select(F.col("leaf").alias("l"), F.col("at").alias("a"), F.col("token").alias("t"), "s")
     held = spelt.join(often, (F.col("leaf") == F.col("l")) & (F.col("at") == F.col("a")) & (F.col("token") == F.col("t")))
     made = held.groupBy("leaf", "hash").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("s", "at", "token")), False).alias("places"))
     made = made.withColumn("k", F.greatest(F.lit(1), F.ceil(F.lit(constant) * F.col("n") - 1e-9)).cast("int")).where(F.size("places") >= F.col("k"))
     made = made.withColumn("least", F.expr("places[k - 1].s"))
     made = made.withColumn("template", F.xxhash64("leaf", "n", F.expr("transform(filter(places, p -> p.s >= least), p -> struct(p.at, p.token))")))
-    made = materialize(made.select(F.col("hash").alias("h"), "n", "template"), "line-templates")
-    uses = materialize(met.select("id", "print", "line", "hash").join(made, F.col("hash") == F.col("h")).select("id", "print", "line", "n", "template"), "line-uses")
-    recurring = uses.select("template", "n", "print").distinct().groupBy("template").agg(F.count("*").alias("s"), F.first("n").alias("n"))
-    recurring = recurring.where((F.col("s") >= texts) & (F.col("s") * F.col("n") >= weight)).select(F.col("template").alias("u"))
+    made = materialize(made.select(F.col("hash").alias("h"), "leaf", "n", "template"), "line-templates")
+    uses = materialize(met.select("id", "print", "line", "hash").join(made, F.col("hash") == F.col("h")).select("id", "print", "line", "leaf", "n", "template"), "line-uses")
+    recurring = uses.select("template", "leaf", "n", "print").distinct().groupBy("template").agg(F.count("*").alias("s"), F.first("leaf").alias("leaf"), F.first("n").alias("n"))
+    recurring = recurring.where((F.col("s") >= enough("leaf")) & (F.col("s") * F.col("n") >= weight)).select(F.col("template").alias("u"))
     uses = materialize(uses.join(recurring, F.col("template") == F.col("u")).select("id", "print", "line", "template"), "line-gone")
     first = uses.groupBy("template").agg(F.min(F.struct("id", "line")).alias("f")).select(F.col("template").alias("u"), "f")
     first = materialize(first, "line-first")

@@ -212,6 +212,14 @@ def test_line_dedup_of_fields_with_few_values(spark, size):
     assert got[5].text == "own5" and got[size].n_dropped == 0
 
 
+def test_line_dedup_of_a_long_line_in_two_texts(spark):
+    long, short = " ".join(f"passage{k}" for k in range(50)), " ".join(f"shorter{k}" for k in range(49))
+    rows = [(k, f"own{k}\n{long}\n{short}", "s") for k in range(2)] + [(9, f"{'other ' * 60}\nown9\n{'other ' * 60}", "s")]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert got[0].n_dropped == 0 and got[1].text == f"own1\n{short}"
+    assert got[9].n_dropped == 0  # twice in one text
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(400, 8)).round(2)
