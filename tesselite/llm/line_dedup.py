@@ -3,7 +3,7 @@
 Lines are parsed by a tree of fixed depth: the number of tokens, then the leading tokens (tokens with a digit count
 as variable fields, unless they are half of the line). In a leaf, tokens are judged by how many texts hold them at
 their position, relative to the other tokens of the line: those as frequent as the share ``constant`` of the line's
-tokens are its constants, any other is a variable field, so that it doesn't matter how often a field's values recur
+tokens (fields by a digit left out) are its constants, any other is a variable field, so that it doesn't matter how often a field's values recur
 by themselves in large data; a line's template is its constants in place. Templates that recur in enough different
 texts are dropped from all documents but the first that holds them (the smallest id, then the first such
 line), so that nothing said only in boilerplate is lost. Equal texts count once, so copies of a whole document are
@@ -117,17 +117,20 @@ def dropped_lines(docs: DataFrame, leading: int = LEADING, texts: int = TEXTS, w
             of = np.repeat(np.arange(len(raw)), n)
             at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             token = np.frombuffer(b"".join(raw), np.int64)
+            known = np.flatnonzero(token.view(np.uint64) != ANY)
+            of, at, token = of[known], at[known], token[known]
+            m = np.bincount(of, minlength=len(raw))
             for k in range(0, len(of), 50_000):
                 o = pa.array(of[k : k + 50_000])
-                yield pa.RecordBatch.from_arrays([g.column(0).take(o), g.column(1).take(o), g.column(2).take(o), pa.array(at[k : k + 50_000].astype(np.int32)), pa.array(token[k : k + 50_000]), pa.array(n).take(o)], ["leaf", "hash", "texts", "at", "token", "n"])
+                yield pa.RecordBatch.from_arrays([g.column(0).take(o), g.column(1).take(o), g.column(2).take(o), pa.array(at[k : k + 50_000].astype(np.int32)), pa.array(token[k : k + 50_000]), pa.array(n).take(o), pa.array(m).take(o)], ["leaf", "hash", "texts", "at", "token", "n", "m"])
 
     # A line's constants are the tokens that at their place are as frequent as its ``constant`` share of tokens.
-    spelt = kinds.mapInArrow(places, "leaf long, hash long, texts long, at int, token long, n long").where(F.col("token") != F.lit(int(ANY)))
+    spelt = kinds.mapInArrow(places, "leaf long, hash long, texts long, at int, token long, n long, m long")
     often = spelt.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("s")).where(F.col("s") >= enough("leaf"))
     often = often.select(F.col("leaf").alias("l"), F.col("at").alias("a"), F.col("token").alias("t"), "s")
     held = spelt.join(often, (F.col("leaf") == F.col("l")) & (F.col("at") == F.col("a")) & (F.col("token") == F.col("t")))
-    made = held.groupBy("leaf", "hash").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("s", "at", "token")), False).alias("places"))
-    made = made.withColumn("k", F.greatest(F.lit(1), F.ceil(F.lit(constant) * F.col("n") - 1e-9)).cast("int")).where(F.size("places") >= F.col("k"))
+    made = held.groupBy("leaf", "hash").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("s", "at", "token")), False).alias("places"))
+    made = made.withColumn("k", F.greatest(F.lit(1), F.ceil(F.lit(constant) * F.col("m") - 1e-9)).cast("int")).where(F.size("places") >= F.col("k"))
     made = made.withColumn("least", F.expr("places[k - 1].s"))
     made = made.withColumn("template", F.xxhash64("leaf", "n", F.expr("transform(filter(places, p -> p.s >= least), p -> struct(p.at, p.token))")))
     made = materialize(made.select(F.col("hash").alias("h"), "leaf", "n", "template"), "line-templates")

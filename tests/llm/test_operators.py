@@ -220,6 +220,12 @@ def test_line_dedup_of_a_long_line_in_two_texts(spark):
     assert got[9].n_dropped == 0  # twice in one text
 
 
+def test_line_dedup_of_lines_with_many_digits(spark):
+    rows = [(k, f"own{k}\nUpdated 12 May 2021 at 10:45 UTC", "s") for k in range(10)] + [(k, f"own{k}\nSeen {k} of {k + 5} on {k * 7} days", "s") for k in range(10, 20)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert [got[k].n_dropped for k in range(20)] == ([0] + [1] * 9) * 2
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(400, 8)).round(2)
