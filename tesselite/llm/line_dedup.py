@@ -11,7 +11,8 @@ left to document deduplication.
 
 How often is enough depends on length: a template of n tokens must be in at least ``texts`` different texts and in so
 many that n times their number reaches ``weight``; templates of ``long`` tokens or more recur from two texts on. Lines of
-fewer than ``shortest`` tokens stay.
+every length are taken, short ones need more texts by ``weight`` (60 of one token, 30 of two); lines of fewer than
+``shortest`` tokens stay.
 
 Only lines of leaves that hold enough texts leave the scan (told by a bit table of fixed size; leaves that get in by
 chance fail the exact counts later). Counting is by distinct line, aggregated before every shuffle.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release, table, text_of
 from .words import hashes, mix, slices, tokens
 
-LEADING, TEXTS, WEIGHT, SHORTEST, CONSTANT, LONG, PAIR = 3, 3, 60, 3, 0.6, 50, 2
+LEADING, TEXTS, WEIGHT, SHORTEST, CONSTANT, LONG, PAIR = 3, 3, 60, 1, 0.6, 50, 2
 ANY = np.uint64(0x2A)
 BITS = 26
 

@@ -226,6 +226,14 @@ def test_line_dedup_of_lines_with_many_digits(spark):
     assert [got[k].n_dropped for k in range(20)] == ([0] + [1] * 9) * 2
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(k, "\n".join([f"own{k}", "版权所有", *["Read more"] * (k < 30), *["Go back"] * (k < 29)]), "s") for k in range(60)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert got[0].n_dropped == 0 and got[1].text == "own1\nGo back" and got[29].text == "own29"
+    assert all(got[k].text == f"own{k}" for k in range(30, 60))
+    assert all("版权所有" in r.text for r in line_dedup.line_dedup(table(spark, rows[1:])).collect())  # 59 texts
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(400, 8)).round(2)
