@@ -10,7 +10,7 @@ the one document on the border is taken in part, so a source misses its target b
 border is found by three histogram passes of 1,024 cells each, so no source is ever ordered in one task.
 
 Defined results: null text has size 0; null source is a source of its own, last; documents of size 0 are
-taken with 0 words; repeated rows count separately; an empty table gives an empty result.
+taken with 0 words, by ``sample`` as often as their source is repeated but once at least; repeated rows count separately; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,6 +107,7 @@ def sample(docs: DataFrame, **settings) -> DataFrame:
     mixed = mix(docs, **settings)
     text = settings.get("text_col", "text")
     whole = mixed.withColumn("__n", F.col("mix_repetitions") + F.when((F.col("mix_extra") == F.col("mix_size")) & (F.col("mix_size") > 0), 1).otherwise(0))
+    whole = whole.withColumn("__n", F.when(F.col("mix_size") == 0, F.greatest(F.lit(1), F.col("__n"))).otherwise(F.col("__n")))
     whole = whole.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
     part = mixed.where("mix_extra > 0 and mix_extra < mix_size").withColumn(text, cut(F.col(text), F.col("mix_extra")))
     return whole.select(*docs.columns).unionByName(part.select(*docs.columns))

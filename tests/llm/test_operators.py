@@ -364,6 +364,15 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(docs).count() == len(ROWS)
 
 
+def test_mixing_keeps_empty_texts(spark):
+    rows = [(1, "w " * 900, "a"), (2, "", "a"), (3, None, "a"), (4, " \n", "a"), (5, "w " * 50, "b"), (6, "", "b"), (7, None, "none")]
+    df = table(spark, rows)
+    reps = {r.doc_id: r.mix_repetitions for r in mixing.mix(df).collect()}
+    got = collections.Counter(r.doc_id for r in mixing.sample(df).collect())
+    assert reps[2] == 0 and reps[6] > 1
+    assert [got[k] for k in (2, 3, 4, 6, 7)] == [1, 1, 1, reps[6], 1]
+
+
 def test_dom():
     nodes, runs = dom.parse('<html><head><title>T</title></head><body>a<p>b <b>c<br>d<p>e&amp;f</p><script>var x="</p>";</script><!-- > --><ul><li>g<li>h</ul><table><tr><td>i<td>j</table>k<p title="a>b">l')
     assert [(nodes[k].name, t) for k, t in runs] == [("html", "a"), ("p", "b c d"), ("p", "e&f"), ("li", "g"), ("li", "h"), ("td", "i"), ("td", "j"), ("html", "k"), ("p", "l")]
