@@ -31,6 +31,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables of one operator in the shared folder: written once, reread, and deleted once nothing needs them."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.base, self.paths = spark, scratch(spark, tag), {}
+
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        path = f"{self.base}/{len(self.paths)}-{name}"
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (path, kept)
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables whose successors are written, and let Spark delete the shuffle files behind them."""
+        for df in tables:
+            path, _ = self.paths[id(df)]
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written: it does so when the objects that
     stand for them are collected, which otherwise happens at no set time."""

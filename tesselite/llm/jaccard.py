@@ -1,25 +1,29 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-Documents with equal shingle sets are one class; only classes are joined. Tokens (shingle hashes) have one
-global order: those counted often come last, the rest by hash. Two sets of similarity T % share at least
-ceil(T n / 100) tokens, so their prefixes of n - ceil(T n / 100) + 2 tokens share at least two. If one of them
-is rare, the pair meets at that single token; if both are frequent, it meets at the combination of two frequent
-tokens. Sets too large for all pairs of frequent tokens use longer combinations: the set is dealt by hash into
-more blocks than two such sets can differ in tokens, so one block at least is equal.
-
-Pairs that meet are pruned by size and by an upper bound of their intersection from a small histogram of the
-sets; what is left is verified on the whole sets. Rare tokens compare all members (they are few); a frequent
-combination compares each member with its smallest member (for a few combinations of each set, which connect large
-groups of copies), and then, where members of any combination are still in different components, all that are connected by such
-combinations are compared in blocks by array arithmetic. So each pair of sets that links is verified or is
-already connected, without forming all pairs of a large group of copies.
+Documents with equal shingle sets are one class; only classes are joined. Tokens (shingle hashes) fall into classes by
+how many sets they were counted in: rare ones are indexed by themselves, frequent ones by pairs and very frequent ones
+by triples. Tokens have one global order, rare ones first, by hash within a class. A set of n tokens of which a partner
+must hold ceil(T n / 100) can miss so many that a prefix is extended until each choice of that many missing tokens
+leaves a rare token or a combination: m tokens of a class of k-combinations stand for m - k + 1 of them. So that
+large sets don't give all pairs of their prefix, frequent classes are dealt by hash into subclasses, whose number
+follows the size (by bands of sizes, of which a set serves those of its possible partners), and tokens are combined
+within a subclass only. Of two sets that link, the shorter prefix holds a whole combination of shared tokens, and the
+longer prefix holds it too.
+
+Sets that meet are not paired all with all. In each bucket (sets with one signature) every set is paired with
+the smallest class first; those pairs are pruned by size and by parity sketches (a bit per cell tells whether an odd
+number of tokens falls there; differing bits bound the symmetric difference from below), each set keeps the pair
+with the most shared signatures for a first check of the whole sets, and further pairs are checked only where the two
+are still in different components. Buckets that hold several components afterwards are compared within, by
+array arithmetic on sketches, large ones in blocks: only pairs of different components, and of the largest component
+only against the others. So each pair of sets that links is checked on the whole sets or is already connected.
 
 Token counts only choose the order, on which exactness does not depend: the broadcast table of frequent tokens
 is bounded by raising the count from which a token is frequent.
 
 Defined results: null and empty texts (and texts without words) have no shingles and link with nothing; texts
 of fewer words than the width are one shingle; rows that share an id share its class; an empty table gives an
-empty result.
+empty result. Thresholds of 50 % or less are refused.
 """
 
 from __future__ import annotations
@@ -32,20 +36,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table, text_of
+from .common import Steps, release, table, text_of
 from .words import combine, mix, shingles, slices, word_hashes
 
-#: A token is frequent from this count on, or from the power of two that keeps the table within MOST_FREQUENT.
-FREQUENT, MOST_FREQUENT = 32, 1_000_000
-#: Members of a rare token that are compared with each other at once.
-LONGEST_RUN = 64
+#: A token is frequent from this count on, or from the power of two that keeps the table within MOST_FREQUENT, and very
+#: frequent from VERY times that.
+FREQUENT, MOST_FREQUENT, VERY = 32, 1_000_000, 32
 #: Bits of the table of tokens met more than once.
 ACTIVE_BITS = 26
-#: Up to this size a set gives all pairs of frequent tokens, beyond it blocks, for bands of sizes of this ratio.
-PAIRS_UP_TO, BAND = 60, 1.25
-#: Combinations of a class, the smallest by hash, by which large groups of copies are connected first.
-LEAD = 6
-CELLS, FULL, BLOCK = 64, 65535, 512
+#: Up to this size a set's frequent tokens are one class of pairs, beyond it they are dealt into subclasses.
+PAIRS_UP_TO = 60
+#: Members of a bucket that are compared at once, pairs that are looked at at once, and bytes of counts in one group.
+BLOCK, AT_ONCE, GROUP_BYTES = 512, 100_000, 32_000_000
 
 
 def counted_share(percent: int) -> float:
@@ -59,7 +61,7 @@ def need(size, percent: int):
     return -(-percent * size // 100)
 
 
-def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for batch in batches:
         at = 0
         for texts in slices(batch.column(1)):
@@ -72,30 +74,50 @@ def class_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def histogram(tokens: np.ndarray) -> np.ndarray:
-    """How many tokens fall into each cell; the sum of the smaller counts bounds the intersection of two sets."""
-    return np.bincount((mix(tokens) >> np.uint64(58)).astype(np.int64), minlength=CELLS).clip(max=FULL)
-
-
-def could_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether 100 |A and B| >= percent |A or B| is possible, from histograms and sizes alone."""
-    most = np.minimum(a, b).sum(axis=1).astype(np.int64)
-    full = ((a == FULL) & (b == FULL)).any(axis=1)  # such a count may be larger
-    most[full] = np.minimum(size_a, size_b)[full]
-    return 100 * most >= percent * (size_a + size_b - most)
-
-
 def spread(tokens: np.ndarray) -> np.ndarray:
     """Another hash of tokens: prefixes hold the smallest tokens, so parts can't be ranges of the tokens themselves."""
     return mix(tokens + np.uint64(0x9E3779B97F4A7C15))
 
 
-def _classes(docs: DataFrame, width: int) -> DataFrame:
-    def fn(batches):
-        for ids, sets in sets_of(batches, width):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "class"])
-
-    return docs.mapInArrow(fn, "doc_id long, n_shingles long, class binary")
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each cell, as many cells as the power of two from the number of tokens on."""
+    words = 1 << max(0, int(len(tokens) - 1).bit_length() - 6)
+    cell = mix(tokens) & np.uint64(words * 64 - 1)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return out
+
+
+class Sketches:
+    """Sketches of a lot of sets, compared by pairs."""
+
+    def __init__(self, raw: list[bytes], size: np.ndarray, percent: int):
+        self.flat = np.frombuffer(b"".join(raw), np.uint64)
+        self.words = np.array([len(x) // 8 for x in raw], np.int64)
+        self.start = np.cumsum(self.words) - self.words
+        self.size, self.percent = size.astype(np.int64), percent
+
+    def _of(self, rows: np.ndarray, words: int, to: int) -> np.ndarray:
+        found = self.flat[self.start[rows][:, None] + np.arange(words)]
+        while found.shape[1] > to:  # cells that share their lower bits are one cell of the smaller sketch
+            half = found.shape[1] // 2
+            found = found[:, :half] ^ found[:, half:]
+        return found
+
+    def could_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether 100 |A and B| >= percent |A or B| is possible by sizes and sketches. With d tokens in one set alone
+        that is d (100 + percent) <= (100 - percent) (|A| + |B|)."""
+        p, total = self.percent, self.size[a] + self.size[b]
+        ok = 100 * np.minimum(self.size[a], self.size[b]) >= p * np.maximum(self.size[a], self.size[b])
+        wide = self.words[a] * (1 << 20) + self.words[b]
+        for w in np.unique(wide[ok]):
+            x, y = int(w) >> 20, int(w) & ((1 << 20) - 1)
+            every = np.flatnonzero(ok & (wide == w))
+            for k in range(0, len(every), step := max(1, 4_000_000 // max(x, y))):
+                at = every[k : k + step]
+                differ = np.bitwise_count(self._of(a[at], x, min(x, y)) ^ self._of(b[at], y, min(x, y))).sum(axis=1, dtype=np.int64)
+                ok[at] = differ * (100 + p) <= (100 - p) * total[at]
+        return ok
 
 
 def _count(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
@@ -137,196 +159,229 @@ def _count(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
     return docs.mapInArrow(rows, "part int, tokens binary, counts binary").groupBy("part").applyInArrow(add, "kind int, key long, value long")
 
 
-class Order:
-    """The global order of tokens and what may be left out of the index."""
+def combined(tokens: np.ndarray, of: np.ndarray, k: int) -> list[np.ndarray]:
+    """All combinations of k (2 or 3) tokens within a subclass, each hashed."""
+    order = np.argsort(of, kind="stable")
+    t, g, out = tokens[order], of[order], []
+    for i in range(1, len(t)):
+        two = np.flatnonzero(g[:-i] == g[i:])
+        if not len(two):
+            break
+        pair = combine(t[two], t[two + i])
+        if k == 2:
+            out.append(pair)
+            continue
+        for j in range(i + 1, len(t)):
+            there = two + j < len(t)
+            three = there & (g[two] == g[np.minimum(two + j, len(t) - 1)])
+            if not three.any():
+                break
+            out.append(combine(pair[three], t[two[three] + j]))
+    return out
 
-    def __init__(self, frequent: np.ndarray, active: np.ndarray, percent: int):
-        self.frequent, self.active, self.percent = frequent, active, percent
 
-    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rare tokens of the prefix that another set may hold, and its frequent tokens."""
+class Order:
+    """The global order of tokens, their classes, and what may be left out of the index."""
+
+    def __init__(self, frequent: np.ndarray, k: np.ndarray, active: np.ndarray, percent: int):
+        self.frequent, self.k, self.active, self.percent = frequent, k, active, percent
+        self.up_to = max(3, PAIRS_UP_TO)
+
+    def kinds(self, s: np.ndarray) -> np.ndarray:
+        """How many tokens are combined in the class of each token."""
+        if not len(self.frequent):
+            return np.ones(len(s), np.int8)
+        at = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == s, self.k[at], np.int8(1))
+
+    def band(self, n: int) -> int:
+        return 0 if n <= self.up_to else (n // (self.up_to + 1)).bit_length()
+
+    def subclasses(self, band: int) -> tuple[int, int]:
+        """Numbers of subclasses of pairs and of triples (0: these are combined as pairs, too) for sets of a band. They stay
+        below what sets of the band must share, so that whole sets are always prefix enough."""
+        if band == 0:
+            return 1, 0
+        share = need((self.up_to + 1) << (band - 1), self.percent)
+        return max(1, share // 5), share // 8
+
+    def signatures(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
-        size = min(n, n - need(n, self.percent) + 2)
-        at = np.searchsorted(self.frequent, s) if len(self.frequent) else np.zeros(n, np.int64)
-        often = self.frequent[np.minimum(at, len(self.frequent) - 1)] == s if len(self.frequent) else np.zeros(n, bool)
-        rare = np.flatnonzero(~often)[:size]
-        frequent = s[often][: size - len(rare)]
+        share = need(n, self.percent)
+        want = n - share + 1
+        kind = self.kinds(s[: 2 * want + 16])
+        if len(kind) < n and (kind == 1).sum() < want:
+            kind = self.kinds(s)
+        rare = np.flatnonzero(kind == 1)[:want]
         # A partner ranks a shared token at most its own extra tokens later; up to there both have counted it.
         sure = rare < (counted_share(self.percent) - (100 - self.percent) / self.percent) * n * self.percent / 100
         token = s[rare]
         cell = (spread(token) >> np.uint64(64 - ACTIVE_BITS)).astype(np.int64)
         alone = sure & ((self.active[cell >> 6] >> (cell & 63)) & 1 == 0)
-        return token[~alone], frequent
-
-    def combinations(self, s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        n, out = len(s), []
-        if len(frequent) < 2:
-            return np.zeros(0, np.uint64)
-        if n <= PAIRS_UP_TO:
-            a, b = np.triu_indices(len(frequent), 1)
-            out.append(combine(frequent[a], frequent[b]))
-        if n > PAIRS_UP_TO * self.percent / 100:
-            ratio = 100 / self.percent
-            band = int(np.floor(np.log(n) / np.log(BAND)))
-            steps = int(np.ceil(np.log(ratio) / np.log(BAND) - 1e-9))
-            for k in range(band - steps, band + 1):
-                blocks = int((100 - self.percent) / self.percent * BAND ** (k + 1)) + 2
-                of = (mix(s ^ np.uint64(0xA5A5)) % np.uint64(blocks)).astype(np.int64)
-                total = np.zeros(blocks, np.uint64)
-                np.add.at(total, of, mix(s))
-                out.append(combine(total, np.arange(blocks, dtype=np.uint64) + np.uint64(k << 32)))
-        return np.unique(np.concatenate(out))
-
-
-_INDEX = [("sig", pa.int64()), ("class", pa.binary()), ("size", pa.int32()), ("cells", pa.binary())]
-_INDEX_SQL = "kind int, part int, sig long, class binary, size int, cells binary"
-
-
-def _index(docs: DataFrame, width: int, parts: int, order) -> DataFrame:
-    """Kind 0: rare tokens; 1: combinations; 2: the first of these once more. Each with its class and the class's size;
-    kinds 0 and 2 also with the class's histogram."""
-    span = np.uint64(2**64 // parts + 1)
+        out = [token[~alone]]
+        if len(rare) < want:
+            for band in range(self.band(share), self.band(n) + 1):
+                out += self._of_band(s, kind, want - len(rare), band)
+        return np.concatenate(out)
+
+    def _of_band(self, s: np.ndarray, kind: np.ndarray, left: int, band: int) -> list[np.ndarray]:
+        two, three = self.subclasses(band)
+        out = []
+        for k, count, tokens in ((2, two, s[kind == 2] if three else s[kind > 1]), (3, three, s[kind == 3] if three else s[:0])):
+            if not len(tokens):
+                continue
+            of = (mix(tokens ^ np.uint64(0xA5A5)) % np.uint64(count)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            first = np.flatnonzero(np.diff(of[order], prepend=-1))
+            rank = np.empty(len(of), np.int64)
+            rank[order] = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+            sure = np.cumsum(rank >= k - 1)
+            stop = int(np.searchsorted(sure, left)) + 1
+            out += [combine(x, np.uint64(band * 4 + k)) for x in combined(tokens[:stop], of[:stop], k)]
+            left -= int(sure[min(stop, len(of)) - 1])
+            if left <= 0:
+                break
+        return out
+
+
+_ROWS = [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("sig", pa.int64()), ("sketch", pa.binary())]
+
+
+def _index(docs: DataFrame, width: int, order) -> DataFrame:
+    """Kind 0: a row for each document with its class, the class's size and once a lot its sketch; kind 1: the signatures of
+    each class (once a lot)."""
 
     def fn(batches):
-        for _, sets in sets_of(batches, width):
-            sigs, owners, kinds, names, sizes, cells, seen = [], [], [], [], [], [], set()
+        for ids, sets in sets_of(batches, width):
+            names, sketches, seen, sigs = [], [], {}, []
             for s in sets:
-                if len(s) < 2 or (name := class_of(s)) in seen:
-                    continue
-                seen.add(name)
-                rare, frequent = order.value.prefix(s)
-                combos = order.value.combinations(s, frequent)
-                if len(rare) + len(combos) == 0:
-                    continue
-                sigs += (rare, combos, combos[:LEAD])
-                n = len(rare), len(combos), len(combos[:LEAD])
-                kinds.append(np.repeat(np.arange(3, dtype=np.int32), n))
-                owners.append(np.full(sum(n), len(names)))
+                name = class_of(s) if len(s) else None
+                new = name is not None and name not in seen
                 names.append(name)
-                sizes.append(len(s))
-                cells.append(histogram(s).astype("<u2").tobytes())
-            if not names:
+                sketches.append(sketch(s).tobytes() if new else None)
+                if new:
+                    seen[name] = len(s)
+                    sigs.append(order.value.signatures(s) if len(s) > 1 else s[:0])
+            none = pa.nulls(len(sets))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), none.cast(pa.int64()), pa.array(sketches, pa.binary())], [c for c, _ in _ROWS])
+            if not sigs:
                 continue
-            sig, owner, kind = np.concatenate(sigs), np.concatenate(owners), np.concatenate(kinds)
+            sig, owner = np.concatenate(sigs).view(np.int64), np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
+            own, size = pa.array(list(seen), pa.binary()), np.array(list(seen.values()), np.int64)
             for k in range(0, len(sig), 20_000):
-                o, g = pa.array(owner[k : k + 20_000]), sig[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(kind[k : k + 20_000]), pa.array((spread(g) // span).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(names, pa.binary()).take(o), pa.array(sizes, pa.int32()).take(o), pa.array(cells, pa.binary()).take(pa.array(owner[k : k + 20_000], mask=kind[k : k + 20_000] == 1))], ["kind", "part", *[n for n, _ in _INDEX]])
+                o = owner[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(o), np.int32)), pa.nulls(len(o), pa.int64()), pa.array(size[o]), own.take(pa.array(o)), pa.array(sig[k : k + 20_000]), pa.nulls(len(o), pa.binary())], [c for c, _ in _ROWS])
 
-    return docs.mapInArrow(fn, _INDEX_SQL)
+    return docs.mapInArrow(fn, "kind int, doc_id long, n long, class binary, sig long, sketch binary")
 
 
-def _cells(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+def _pruned(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b, weight) whose sketches let them link."""
+    of = lambda c: sketches.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "weight", "na", "nb", "sa", "sb")
 
-
-def _rare_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that meet at a rare token and could link. Runs longer than LONGEST_RUN are handed on
-    as rows of their own (pair of the class with nothing) for the treatment of combinations."""
+    def fn(batches):
+        for g in batches:
+            n = g.num_rows
+            known = Sketches(g.column(5).to_pylist() + g.column(6).to_pylist(), np.concatenate([g.column(3).to_numpy(), g.column(4).to_numpy()]), percent)
+            yield g.select([0, 1, 2]).filter(pa.array(known.could_link(np.arange(n), np.arange(n) + n)))
+
+    return both.mapInArrow(fn, "a binary, b binary, weight long")
+
+
+def _pairs_within(runs: np.ndarray, own: np.ndarray, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one run (runs: where each begins, and the end): all of a run if i is j, else block i against j."""
+    if i != j:
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for k in range(0, len(left), step := max(1, AT_ONCE // max(1, len(right)))):
+            some = left[k : k + step]
+            yield np.repeat(some, len(right)), np.tile(right, len(some))
+        return
+    length = np.diff(runs)
+    for n in np.unique(length[length > 1]):
+        x, y = np.triu_indices(n, 1)
+        starts = runs[:-1][length == n]
+        for k in range(0, len(starts), step := max(1, AT_ONCE // len(x))):
+            s = starts[k : k + step, None]
+            yield (s + x).ravel(), (s + y).ravel()
+
+
+def _within(members: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs of members (sig, class, n, root, sketch) of one bucket but of different roots that could link. Small buckets
+    are compared many at a time; a larger one is dealt into blocks, by whether a member is of the bucket's most common
+    root, and each pair of blocks is compared by itself, but those of two blocks of that root."""
+    roots = members.groupBy("sig", "root").agg(F.count("*").alias("m"))
+    most = roots.groupBy("sig").agg(F.sum("m").alias("m"), F.max("m").alias("x"), F.max_by("root", "m").alias("top")).select(F.col("sig").alias("of"), "m", "x", "top")
+    dealt = members.join(most, F.col("sig") == F.col("of")).drop("of")
+    small = dealt.where(F.col("m") <= BLOCK).select(F.pmod(F.xxhash64("sig"), F.lit(parts)).alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "sig", "class", "n", "root", "sketch")
+    minor = F.ceil((F.col("m") - F.col("x")) / BLOCK).cast("int")
+    major = F.ceil(F.col("x") / BLOCK).cast("int")
+    large = dealt.where(F.col("m") > BLOCK).withColumns({"a": minor, "b": major, "top": F.col("root") == F.col("top")}).where("a > 0")
+    own = F.when(F.col("top"), F.col("a") + F.pmod(F.xxhash64("class"), F.col("b"))).otherwise(F.pmod(F.xxhash64("class"), F.col("a"))).cast("int")
+    # Blocks of the most common root meet the others only; these meet every block.
+    large = large.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("top"), F.col("a")).otherwise(F.col("a") + F.col("b")) - 1)))
+    large = large.select(F.col("sig").alias("key"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "sig", "class", "n", "root", "sketch")
 
     def fn(key, group):
-        group = group.combine_chunks()
         sig = group.column("sig").to_numpy()
-        order = np.argsort(sig, kind="stable")
-        sig = sig[order]
-        bounds = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
-        runs = np.diff(bounds)
-        size = group.column("size").to_numpy().astype(np.int64)
-        cells = _cells(group.column("cells"))
-        lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n in np.unique(runs[(runs > 1) & (runs <= LONGEST_RUN)]):
-            starts = bounds[:-1][runs == n]
-            i, j = np.triu_indices(n, 1)
-            for k in range(0, len(starts), step := max(1, 50_000 // len(i))):
-                s = starts[k : k + step]
-                a, b = order[(s[:, None] + i).ravel()], order[(s[:, None] + j).ravel()]
-                fit = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-                a, b = a[fit], b[fit]
-                ok = could_link(cells[a], cells[b], size[a], size[b], percent)
-                lefts.append(a[ok])
-                rights.append(b[ok])
-        a, b = np.concatenate(lefts), np.concatenate(rights)
-        name = group.column("class").combine_chunks()
-        x, y = name.take(pa.array(a)).to_pylist(), name.take(pa.array(b)).to_pylist()
-        pairs = list({(p, q) if p < q else (q, p) for p, q in zip(x, y, strict=True) if p != q})
-        long = np.repeat(runs > LONGEST_RUN, runs)
-        rest = group.take(pa.array(order[long])).select([n for n, _ in _INDEX])
-        out = pa.table({"a": pa.array([p for p, _ in pairs], pa.binary()), "b": pa.array([q for _, q in pairs], pa.binary())})
-        blank = pa.table({n: pa.nulls(len(pairs), t) for n, t in _INDEX})
-        left = pa.table({"a": pa.nulls(len(rest), pa.binary()), "b": pa.nulls(len(rest), pa.binary())})
-        return pa.concat_tables([pa.table({**dict(zip(out.column_names, out.columns, strict=True)), **dict(zip(blank.column_names, blank.columns, strict=True))}), pa.table({**dict(zip(left.column_names, left.columns, strict=True)), **dict(zip(rest.column_names, rest.columns, strict=True))})])
-
-    return index.groupBy("part").applyInArrow(fn, "a binary, b binary, sig long, class binary, size int, cells binary")
-
-
-def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (class, size, root, cells, cluster) of one cluster but of different roots that could link. A
-    cluster is dealt into blocks, and each pair of blocks is compared in a task of its own by array arithmetic; only
-    what passes the bound leaves it."""
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).select(F.col("cluster").alias("of"), "n")
-    dealt = members.join(blocks, F.col("cluster") == F.col("of")).drop("of").withColumn("own", F.pmod(F.xxhash64("class"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "size", "root", "cells")
-
-    def fn(key, group):
-        own, size = group.column("own").to_numpy(), group.column("size").to_numpy().astype(np.int64)
-        cells = _cells(group.column("cells"))
-        _, root = np.unique(np.array(group.column("root").to_pylist(), dtype=object), return_inverse=True)
-        i, j = key[1].as_py(), key[2].as_py()
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, x in enumerate(left):
-            y = right[k + 1 :] if i == j else right
-            y = y[(root[y] != root[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-            if len(y):
-                y = y[could_link(cells[x][None, :], cells[y], np.full(len(y), size[x]), size[y], percent)]
-                found_a.append(np.full(len(y), x))
-                found_b.append(y)
-        name = group.column("class").to_pylist()
-        pairs = [(min(name[x], name[y]), max(name[x], name[y])) for x, y in zip(np.concatenate(found_a), np.concatenate(found_b), strict=True)]
-        return pa.table({"a": pa.array([p for p, _ in pairs], pa.binary()), "b": pa.array([q for _, q in pairs], pa.binary())})
-
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(fn, "a binary, b binary")
-
-
-def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs of classes whose whole sets link. Only sets of classes in a pair leave the scan of the texts; a bit
-    table of fixed size tells most of the others."""
-    spark = docs.sparkSession
+        group = group.take(pa.array(np.argsort(sig, kind="stable"))).combine_chunks()
+        sig, own = group.column("sig").to_numpy(), group.column("own").to_numpy()
+        names, (i, j) = group.column("class").to_pylist(), (key[1].as_py(), key[2].as_py())
+        known = Sketches(group.column("sketch").to_pylist(), group.column("n").to_numpy(), percent)
+        root = np.frombuffer(b"".join(group.column("root").to_pylist()), np.uint64).reshape(-1, 2)
+        found = set()
+        for a, b in _pairs_within(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])), own, i, j):
+            apart = (root[a] != root[b]).any(axis=1)
+            a, b = a[apart], b[apart]
+            ok = known.could_link(a, b)
+            found.update((min(names[x], names[y]), max(names[x], names[y])) for x, y in zip(a[ok], b[ok], strict=True))
+        return pa.table({"a": pa.array([p for p, _ in found], pa.binary()), "b": pa.array([q for _, q in found], pa.binary())})
+
+    return small.unionByName(large).groupBy("key", "i", "j").applyInArrow(fn, "a binary, b binary").distinct()
+
+
+def verify(steps: Steps, docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose whole sets link. Only the texts of each class's first document are read on,
+    told by a bit table of fixed size; the sets of others that it lets pass meet no pair."""
     names = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    bit = F.pmod(F.xxhash64("class"), F.lit(1 << 23))
-    rows = names.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("v")).collect()  # at most 131,072
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
+    rows = first.join(names, "class", "left_semi").groupBy(F.shiftright(bit("first"), 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit("first") % 64).cast("int"))).alias("v")).collect()  # at most 131,072
+    known = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in rows], "w long, v long")
+    id_col, text_col = docs.columns
+    some = docs.withColumn("w", F.shiftright(bit(id_col), 6)).join(F.broadcast(known), "w")
+    some = some.where(F.call_function("shiftright", F.col("v"), (bit(id_col) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1).select(id_col, text_col)
+
     def fn(batches):
+        seen = set()
         for _, sets in sets_of(batches, width):
-            found = {}
-            for s in sets:
-                if len(s):
-                    found[class_of(s)] = s
+            found = {name: s for s in sets if len(s) and (name := class_of(s)) not in seen}
+            seen.update(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["class", "tokens"])
 
-    sets = docs.mapInArrow(fn, "class binary, tokens binary")
-    known = spark.createDataFrame([(int(r[0]), int(r[1])) for r in rows], "w long, v long")
-    sets = sets.withColumn("w", F.shiftright(bit, 6)).join(F.broadcast(known), "w")
-    sets = sets.where(F.call_function("shiftright", F.col("v"), (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1).select("class", "tokens")
-    sets = materialize(sets.join(names, "class", "left_semi").dropDuplicates(["class"]), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    sets = steps.write(some.mapInArrow(fn, "class binary, tokens binary"), "sets")
+    n = sets.agg(F.count("*"), F.countDistinct("class")).first()
+    whole = sets if n[0] == n[1] else sets.dropDuplicates(["class"])  # rows with one id and text in several tasks
+    both = pairs.select("a", "b").join(whole.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b").join(whole.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y")
 
     def check(batches):
         for g in batches:
             keep = []
-            for x, y in zip(g.column(2).to_pylist(), g.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(g.column(2), g.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield g.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "a binary, b binary")
+    links = steps.write(both.mapInArrow(check, "a binary, b binary"), "links")
+    steps.drop(sets)
+    release(docs.sparkSession)
+    return links
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(steps: Steps, links: DataFrame) -> DataFrame:
     """links(a, b) -> node, root: the smallest node reachable. Alternates large-star and small-star steps until no
     edge changes; each step's edges are written and reread."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = steps.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -334,82 +389,102 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "edges")
+        after = steps.write(small, "edges")
+        steps.drop(edges)
+        edges = after
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
         before = state
 
 
-def _merge(root: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, root) with further links: only roots are joined anew, not all links."""
+def _roots(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """pairs(a, b, ..) with the roots of both: ra, rb."""
     of = lambda c: root.select(F.col("node").alias(f"{c}_"), F.col("root").alias(f"{c}_root"))
-    edges = links.join(of("a"), F.col("a") == F.col("a_"), "left").join(of("b"), F.col("b") == F.col("b_"), "left")
-    edges = edges.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct()
-    new = materialize(components(edges), "jaccard-roots").select(F.col("node").alias("n"), F.col("root").alias("r"))
+    both = pairs.join(of("a"), F.col("a") == F.col("a_"), "left").join(of("b"), F.col("b") == F.col("b_"), "left")
+    return both.withColumns({"ra": F.coalesce("a_root", "a"), "rb": F.coalesce("b_root", "b")}).drop("a_", "b_", "a_root", "b_root")
+
+
+def _merge(steps: Steps, root: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) with further links: only roots are joined anew, not all links."""
+    edges = _roots(links, root).select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
+    new = steps.write(components(steps, edges), "roots").select(F.col("node").alias("n"), F.col("root").alias("r"))
     moved = root.join(new, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
-    return moved.unionByName(new.select(F.col("n").alias("node"), F.col("r").alias("root")))
+    return steps.write(moved.unionByName(new.select(F.col("n").alias("node"), F.col("r").alias("root"))).distinct(), "roots")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long"), text_of(text_col))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = materialize(_classes(rows, width), "jaccard-classes")
-    counted = materialize(_count(rows, width, percent, parts), "jaccard-counts")
+def _order(steps: Steps, rows: DataFrame, width: int, percent: int):
+    """The broadcast order of tokens."""
+    spark = rows.sparkSession
+    id_col, text_col = rows.columns
+    size = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2 * size * counted_share(percent) / GROUP_BYTES))  # 12 bytes a word of 6
+    counted = steps.write(_count(rows, width, percent, parts), "counts")
     # The count from which a token is frequent: the least power of two that keeps the table bounded.
-    level = F.floor(F.log2("value"))
     limit, total = FREQUENT, 0
-    for r in sorted(counted.where("kind = 0").groupBy(level.alias("l")).count().collect(), reverse=True):
+    for r in sorted(counted.where("kind = 0").groupBy(F.floor(F.log2("value")).alias("l")).count().collect(), reverse=True):
         total += r[1]
         if total > MOST_FREQUENT:
             limit = 2 ** (int(r[0]) + 1)
             break
-    frequent = np.sort(np.array([r[0] for r in counted.where(f"kind = 0 and value >= {limit}").select("key").collect()], np.int64).view(np.uint64))
+    often = counted.where(f"kind = 0 and value >= {limit}").select("key", (F.col("value") >= limit * VERY).alias("very")).collect()
+    frequent = np.array([r[0] for r in often], np.int64).view(np.uint64)
+    k = np.array([3 if r[1] else 2 for r in often], np.int8)
+    by = np.argsort(frequent)
     active = np.zeros(1 << (ACTIVE_BITS - 6), np.int64)
     for r in counted.where("kind = 1").groupBy("key").agg(F.bit_or("value")).toLocalIterator():  # at most 2**20 rows
         active[r[0]] = r[1]
-    order = spark.sparkContext.broadcast(Order(frequent, active, percent))
-    index = materialize(_index(rows, width, parts, order), "jaccard-index")
-    met = materialize(_rare_pairs(index.where("kind = 0"), percent), "jaccard-pairs")
-    names = [n for n, _ in _INDEX]
-    long = met.where("a is null").select(*names)
-    many = long.unionByName(index.where("kind = 1").select(*names)).select("sig", "class", "size").distinct()
-    lead = materialize(long.unionByName(index.where("kind = 2").select(*names)), "jaccard-lead")
-    first = lead.groupBy("sig").agg(F.min(F.struct("class", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.col("sig").alias("s"), F.col("p.class").alias("a"), F.col("p.size").alias("size_a"))
-    fit = lambda: 100 * F.least("size_a", "size_b").cast("long") >= percent * F.greatest("size_a", "size_b").cast("long")
-    star = lead.select("sig", F.col("class").alias("b"), F.col("size").alias("size_b")).join(first, F.col("sig") == F.col("s")).where(fit())
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
-    pairs = materialize(met.where("a is not null").select("a", "b").unionByName(star).distinct(), "jaccard-pairs")
+    steps.drop(counted)
+    return spark.sparkContext.broadcast(Order(frequent[by], k[by], active, percent))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
+    spark = docs.sparkSession
+    steps = Steps(spark, "jaccard")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    order = _order(steps, rows, width, percent)
+    both = steps.write(_index(rows, width, order), "index", "kind")
+    classes = both.where("kind = 0").select("doc_id", "n", "class")
+    first = steps.write(classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first")), "first")
+    sketches = both.where("kind = 0 and sketch is not null").select("class", "n", "sketch").dropDuplicates(["class"])
+    # Buckets of one set only are left out.
+    index = both.where("kind = 1").select("sig", "class", "n")
+    centre = index.groupBy("sig").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select(F.col("sig").alias("s"), "a")
+    buckets = steps.write(index.join(centre, F.col("sig") == F.col("s")).select("sig", "class", "n", "a").distinct(), "buckets")
+    star = buckets.where("class <> a").groupBy("a", F.col("class").alias("b")).agg(F.count("*").alias("weight"))
+    star = steps.write(star, "met")
+    sketches = steps.write(sketches.join(buckets.select("class").distinct(), "class", "left_semi"), "sketches")
+    near = steps.write(_pruned(star, sketches, percent), "near")
     release(spark)
-    links = materialize(verify(rows, pairs, width, percent), "jaccard-links")
-    root = components(links)
-    if not lead.isEmpty():
-        # Combinations whose members are still in different components.
-        root = materialize(root, "jaccard-roots")
-        at = many.join(root, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-        at = materialize(at, "jaccard-many")
-        split = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("sig").alias("s"))
-        at = materialize(at.join(split, F.col("sig") == F.col("s"), "left_semi"), "jaccard-split")
-        least = at.groupBy("sig").agg(F.min("class").alias("p")).select(F.col("sig").alias("s"), "p")
-        near = components(at.join(least, F.col("sig") == F.col("s")).select(F.col("class").alias("a"), F.col("p").alias("b")))
-        near = near.select(F.col("node").alias("m"), F.col("root").alias("cluster"))
-        cells = lead.select(F.col("class").alias("c"), "cells").dropDuplicates(["c"])
-        members = at.select("class", "size", "root").distinct().join(cells, F.col("class") == F.col("c")).join(near, F.col("class") == F.col("m"), "left")
-        members = materialize(members.select("class", "size", "root", "cells", F.coalesce("cluster", "class").alias("cluster")), "jaccard-members")
-        more = _in_blocks(members, percent).join(pairs, ["a", "b"], "left_anti")
-        more = materialize(more, "jaccard-more")
-        if not more.isEmpty():
-            root = _merge(root, verify(rows, more, width, percent))
-    first_id = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    named = materialize(first_id.join(root, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root")), "jaccard-named")
+    # Each set with the smaller one that it shares most signatures with: a forest of at most one edge a set.
+    lead = steps.write(near.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")), "lead")
+    root = steps.write(components(steps, verify(steps, rows, first, lead, width, percent)), "roots")
+    rest = _roots(near.join(lead, ["a", "b"], "left_anti"), root).where("ra <> rb").select("a", "b")
+    rest = steps.write(rest, "rest")
+    if not rest.isEmpty():
+        root = _merge(steps, root, verify(steps, rows, first, rest, width, percent))
+    # Buckets that hold several components.
+    at = buckets.join(root, F.col("class") == F.col("node"), "left").select("sig", "class", "n", F.coalesce("root", "class").alias("root"))
+    at = steps.write(at, "members")
+    split = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select(F.col("sig").alias("s"))
+    at = at.join(split, F.col("sig") == F.col("s"), "left_semi").join(sketches.select(F.col("class").alias("c"), "sketch"), F.col("class") == F.col("c")).drop("c")
+    at = steps.write(at, "split")
+    parts = max(1, int(at.agg(F.sum(F.octet_length("sketch") + 60)).first()[0] or 0) // GROUP_BYTES * 2) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    more = steps.write(_within(at, percent, parts).join(star.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
+        root = _merge(steps, root, verify(steps, rows, first, more, width, percent))
+    named = steps.write(first.join(root, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    named = materialize(named.join(least, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "component_id"), "jaccard-named")
-    alone = classes.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = classes.where("class is not null").join(named, F.col("class") == F.col("c")).select("doc_id", "n_shingles", "component_id")
-    return alone.unionByName(found).withColumnRenamed("doc_id", id_col)
+    named = steps.write(named.join(least, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "component_id"), "named")
+    alone = classes.where("class is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    found = classes.where("class is not null").join(named, F.col("class") == F.col("c")).select("doc_id", "n", "component_id")
+    out = steps.write(alone.unionByName(found), "out")
+    steps.drop(*[df for path, df in steps.paths.values() if df is not out])
+    release(spark)
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
