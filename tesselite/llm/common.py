@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-import time
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below the cluster's shared spark.checkpoint.dir (a local one only where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    """A fresh folder below the cluster's shared spark.checkpoint.dir. Where that is unset, a local one serves a local
+    master only: executors of a cluster would each write to their own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/tesselite/{tag}-{uuid.uuid4().hex}"
 
 
@@ -54,11 +62,23 @@ class Steps:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written: it does so when the objects that
-    stand for them are collected, which otherwise happens at no set time."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    stand for them are collected, which otherwise happens at no set time. Called a few times an operator, where
+    large shuffles lie behind."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def by_bytes(spark: SparkSession, size: int = 16_000_000) -> None:
+    """Limit batches that go to Python by bytes, not only by rows: texts may be very long."""
+    with contextlib.suppress(Exception):  # a setting of Spark 4.1 on
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def mkdirs(spark: SparkSession, path: str) -> None:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Steps, release, table, text_of
+from .common import Steps, by_bytes, release, table, text_of, trim
 from .words import combine, mix, shingles, slices, word_hashes
 
 #: A token is frequent from this count on, or from the power of two that keeps the table within MOST_FREQUENT, and very
@@ -61,13 +61,15 @@ def need(size, percent: int):
     return -(-percent * size // 100)
 
 
-def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows with their sets, by lots of a bounded size of texts."""
     for batch in batches:
         at = 0
         for texts in slices(batch.column(1)):
             bounds, word = word_hashes(texts)
-            yield batch.column(0).slice(at, len(texts)), [shingles(word[a:b], width) for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield batch.slice(at, len(texts)), [shingles(word[a:b], width) for a, b in zip(bounds, bounds[1:], strict=False)]
             at += len(texts)
+    trim()
 
 
 def class_of(tokens: np.ndarray) -> bytes:
@@ -244,7 +246,7 @@ class Order:
         return out
 
 
-_ROWS = [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("sig", pa.int64()), ("sketch", pa.binary())]
+_ROWS = [("kind", pa.int32()), ("doc_id", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("sig", pa.int64()), ("sketch", pa.binary())]
 
 
 def _index(docs: DataFrame, width: int, order) -> DataFrame:
@@ -252,7 +254,7 @@ def _index(docs: DataFrame, width: int, order) -> DataFrame:
     each class (once a lot)."""
 
     def fn(batches):
-        for ids, sets in sets_of(batches, width):
+        for rows, sets in sets_of(batches, width):
             names, sketches, seen, sigs = [], [], {}, []
             for s in sets:
                 name = class_of(s) if len(s) else None
@@ -263,16 +265,16 @@ def _index(docs: DataFrame, width: int, order) -> DataFrame:
                     seen[name] = len(s)
                     sigs.append(order.value.signatures(s) if len(s) > 1 else s[:0])
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), none.cast(pa.int64()), pa.array(sketches, pa.binary())], [c for c, _ in _ROWS])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), none.cast(pa.int64()), pa.array(sketches, pa.binary())], [c for c, _ in _ROWS])
             if not sigs:
                 continue
             sig, owner = np.concatenate(sigs).view(np.int64), np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
             own, size = pa.array(list(seen), pa.binary()), np.array(list(seen.values()), np.int64)
             for k in range(0, len(sig), 20_000):
                 o = owner[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(o), np.int32)), pa.nulls(len(o), pa.int64()), pa.array(size[o]), own.take(pa.array(o)), pa.array(sig[k : k + 20_000]), pa.nulls(len(o), pa.binary())], [c for c, _ in _ROWS])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(o), np.int32)), pa.nulls(len(o), pa.int64()), pa.nulls(len(o), pa.int64()), pa.array(size[o]), own.take(pa.array(o)), pa.array(sig[k : k + 20_000]), pa.nulls(len(o), pa.binary())], [c for c, _ in _ROWS])
 
-    return docs.mapInArrow(fn, "kind int, doc_id long, n long, class binary, sig long, sketch binary")
+    return docs.mapInArrow(fn, "kind int, doc_id long, print long, n long, class binary, sig long, sketch binary")
 
 
 def _pruned(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -347,7 +349,7 @@ def verify(steps: Steps, docs: DataFrame, first: DataFrame, pairs: DataFrame, wi
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
     rows = first.join(names, "class", "left_semi").groupBy(F.shiftright(bit("first"), 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit("first") % 64).cast("int"))).alias("v")).collect()  # at most 131,072
     known = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in rows], "w long, v long")
-    id_col, text_col = docs.columns
+    id_col, text_col = docs.columns[:2]
     some = docs.withColumn("w", F.shiftright(bit(id_col), 6)).join(F.broadcast(known), "w")
     some = some.where(F.call_function("shiftright", F.col("v"), (bit(id_col) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1).select(id_col, text_col)
 
@@ -382,7 +384,8 @@ def components(steps: Steps, links: DataFrame) -> DataFrame:
     """links(a, b) -> node, root: the smallest node reachable. Alternates large-star and small-star steps until no
     edge changes; each step's edges are written and reread."""
     edges = steps.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    known = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = known()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
@@ -392,7 +395,7 @@ def components(steps: Steps, links: DataFrame) -> DataFrame:
         after = steps.write(small, "edges")
         steps.drop(edges)
         edges = after
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = known()
         if state == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
         before = state
@@ -416,7 +419,7 @@ def _merge(steps: Steps, root: DataFrame, links: DataFrame) -> DataFrame:
 def _order(steps: Steps, rows: DataFrame, width: int, percent: int):
     """The broadcast order of tokens."""
     spark = rows.sparkSession
-    id_col, text_col = rows.columns
+    text_col = rows.columns[1]
     size = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2 * size * counted_share(percent) / GROUP_BYTES))  # 12 bytes a word of 6
     counted = steps.write(_count(rows, width, percent, parts), "counts")
@@ -439,15 +442,17 @@ def _order(steps: Steps, rows: DataFrame, width: int, percent: int):
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links), and print (xxhash64 of the text),
+    which tells rows that share an id apart."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     spark = docs.sparkSession
     steps = Steps(spark, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    by_bytes(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("print"))
     order = _order(steps, rows, width, percent)
     both = steps.write(_index(rows, width, order), "index", "kind")
-    classes = both.where("kind = 0").select("doc_id", "n", "class")
+    classes = both.where("kind = 0").select("doc_id", "print", "n", "class")
     first = steps.write(classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first")), "first")
     sketches = both.where("kind = 0 and sketch is not null").select("class", "n", "sketch").dropDuplicates(["class"])
     # Buckets of one set only are left out.
@@ -479,13 +484,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = steps.write(first.join(root, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
     named = steps.write(named.join(least, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "component_id"), "named")
-    alone = classes.where("class is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    found = classes.where("class is not null").join(named, F.col("class") == F.col("c")).select("doc_id", "n", "component_id")
+    alone = classes.where("class is null").select("doc_id", "print", "n", F.col("doc_id").alias("component_id"))
+    found = classes.where("class is not null").join(named, F.col("class") == F.col("c")).select("doc_id", "print", "n", "component_id")
     out = steps.write(alone.unionByName(found), "out")
     steps.drop(*[df for path, df in steps.paths.values() if df is not out])
     release(spark)
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "print")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90).drop("print")

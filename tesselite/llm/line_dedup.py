@@ -23,15 +23,13 @@ aren't blank is empty; rows that repeat an id and a text are treated alike; an e
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table, text_of
+from .common import by_bytes, materialize, release, table, text_of, trim
 from .words import hashes, mix, slices, tokens
 
 LEADING, TEXTS, WEIGHT, SHORTEST, CONSTANT, LONG, PAIR = 3, 3, 60, 1, 0.6, 50, 2
@@ -68,22 +66,21 @@ def lines_of(texts: pa.Array, leading: int, shortest: int, long: int = LONG):
     return text, line, n, leaf, whole, start, h
 
 
-def _fingerprints(texts: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in texts.cast(pa.large_binary()).to_pylist()), np.uint64, len(texts)).view(np.int64)
-
-
 def dropped_lines(docs: DataFrame, leading: int = LEADING, texts: int = TEXTS, weight: int = WEIGHT, shortest: int = SHORTEST, constant: float = CONSTANT, long: int = LONG) -> DataFrame:
-    """docs(id, text) -> id, print (of the text), dropped: numbers of its lines that go."""
+    """docs(id, text, print) -> id, print (of the text), dropped: numbers of its lines that go."""
     spark = docs.sparkSession
     enough = lambda leaf: F.when(F.col(leaf).bitwiseAND(F.lit(1)) == 1, F.lit(min(PAIR, texts))).otherwise(F.lit(texts))
 
     def leaves(batches):
         for g in batches:
+            at = 0
             for some in slices(g.column(1)):
-                prints = _fingerprints(some)
+                prints = g.column(2).slice(at, len(some)).to_numpy()
+                at += len(some)
                 text, _, _, leaf, _, _, _ = lines_of(some, leading, shortest, long)
                 pairs = np.unique(np.stack([leaf.view(np.int64), prints[text]]), axis=1) if len(text) else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["leaf", "print"])
+        trim()
 
     full = docs.mapInArrow(leaves, "leaf long, print long").distinct().groupBy("leaf").count().where(F.col("count") >= enough("leaf"))
     cell = F.shiftrightunsigned("leaf", 64 - BITS)
@@ -97,13 +94,14 @@ def dropped_lines(docs: DataFrame, leading: int = LEADING, texts: int = TEXTS, w
         for g in batches:
             at = 0
             for some in slices(g.column(1)):
-                prints = _fingerprints(some)
+                prints = g.column(2).slice(at, len(some)).to_numpy()
                 text, line, n, leaf, whole, start, h = lines_of(some, leading, shortest, long)
                 c = (leaf >> np.uint64(64 - BITS)).astype(np.int64)
                 k = np.flatnonzero((shared.value[c >> 6] >> (c & 63)) & 1)
                 raw = [h[s : s + m].tobytes() for s, m in zip(start[k], n[k], strict=True)]
                 yield pa.RecordBatch.from_arrays([g.column(0).slice(at, len(some)).take(pa.array(text[k])), pa.array(prints[text[k]]), pa.array(line[k].astype(np.int32)), pa.array(leaf[k].view(np.int64)), pa.array(whole[k].view(np.int64)), pa.array(raw, pa.binary())], ["id", "print", "line", "leaf", "hash", "tokens"])
                 at += len(some)
+        trim()
 
     met = materialize(docs.mapInArrow(candidates, "id long, print long, line int, leaf long, hash long, tokens binary"), "line-candidates")
     release(spark)
@@ -148,19 +146,16 @@ def dropped_lines(docs: DataFrame, leading: int = LEADING, texts: int = TEXTS, w
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """All rows and columns of docs, with the text freed of recurring lines, and n_lines (lines that aren't blank) and
     n_dropped of them."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    by_bytes(docs.sparkSession)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("print"))
     drops = materialize(dropped_lines(own, **settings), "line-drops")
     release(docs.sparkSession)
-
-    @F.pandas_udf("long")
-    def fingerprint(x):
-        return x.map(lambda t: int(np.uint64(xxhash.xxh3_64_intdigest(t)).view(np.int64)))
-
-    rows = docs.withColumn("__print", fingerprint(text_of(text_col)))
+    rows = docs.withColumn("__print", F.xxhash64(text_of(text_col)))
     drops = drops.select(F.col("id").alias("__id"), F.col("print").alias("__of"), F.col("dropped").alias("__dropped"))
     rows = rows.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__of")), "left")
     lines = F.split(text_of(text_col), "\n", -1)
-    kept = F.concat_ws("\n", F.filter(lines, lambda x, k: ~F.array_contains("__dropped", k)))
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__dropped")
+    kept = F.concat_ws("\n", F.transform(rest, lambda k: F.get(lines, k)))
     full = F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).cast("long")
     rows = rows.withColumns({"__n": full, "__gone": F.coalesce(F.size("__dropped"), F.lit(0)).cast("long")})
     rows = rows.withColumn(text_col, F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept))

@@ -93,24 +93,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(*docs.columns, *[F.col(c).alias(name) for name, c in made.items()], (F.col("__size") * F.col("__repetitions") + F.col("__extra")).cast("long").alias("mix_taken"))
 
 
-def sample(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself, with the columns of docs: every row as often as it is taken whole, and the row on the border of
-    its source once more up to the words that are taken of it."""
-    import re
+def _cut(text, words):
+    """The text up to the end of its word of that number."""
+    plain = F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ", -1)
+    begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s, w):
+        n = s["n"] + F.when(w != "", 1).otherwise(0)
+        stop = s["at"] + F.char_length(w)
+        return F.struct(n.cast("long").alias("n"), (stop + 1).alias("at"), F.when((w != "") & (n <= words), stop).otherwise(s["end"]).alias("end"))
 
-    find = re.compile(r"[^\x20\x09-\x0D]+")
+    return F.substring(text, F.lit(1), F.aggregate(plain, begin, step, lambda s: s["end"]))
 
-    @F.pandas_udf("string")
-    def cut(texts, words):
-        return texts.combine(words, lambda t, k: t[: [m.end() for m, _ in zip(find.finditer(t), range(k), strict=False)][-1]])
 
+def sample(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself, with the columns of docs: every row as often as it is taken whole, and the row on the border of
+    its source once more up to the words that are taken of it. The text is cut only there."""
     mixed = mix(docs, **settings)
     text = settings.get("text_col", "text")
-    whole = mixed.withColumn("__n", F.col("mix_repetitions") + F.when((F.col("mix_extra") == F.col("mix_size")) & (F.col("mix_size") > 0), 1).otherwise(0))
-    whole = whole.withColumn("__n", F.when(F.col("mix_size") == 0, F.greatest(F.lit(1), F.col("__n"))).otherwise(F.col("__n")))
-    whole = whole.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-    part = mixed.where("mix_extra > 0 and mix_extra < mix_size").withColumn(text, cut(F.col(text), F.col("mix_extra")))
-    return whole.select(*docs.columns).unionByName(part.select(*docs.columns))
+    full = F.col("mix_repetitions") + F.when((F.col("mix_extra") == F.col("mix_size")) & (F.col("mix_size") > 0), 1).otherwise(0)
+    full = F.when(F.col("mix_size") == 0, F.greatest(F.lit(1), full)).otherwise(full).cast("long")
+    part = (F.col("mix_extra") > 0) & (F.col("mix_extra") < F.col("mix_size"))
+    rows = mixed.withColumn("__full", full).withColumn("__n", F.col("__full") + F.when(part, 1).otherwise(0))
+    rows = rows.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return rows.withColumn(text, F.when(F.col("__k") > F.col("__full"), _cut(F.col(text), F.col("mix_extra"))).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
