@@ -44,18 +44,17 @@ def date_text(x: Column) -> Column:
     return F.date_format(x, "yyyy-MM-dd")
 
 
-def _fraction(x: Column) -> Column:
-    """0, 3 or 6 digits; sub-microseconds never arise."""
-    micros = F.pmod(F.unix_micros(x.cast("timestamp")), F.lit(1_000_000))
-    return F.when(micros == 0, F.lit("")).when(micros % 1000 == 0, F.date_format(x, ".SSS")).otherwise(F.date_format(x, ".SSSSSS"))
+def _short(x: Column) -> Column:
+    """A fraction of 0, 3 or 6 digits instead of always 6; sub-microseconds never arise."""
+    return F.concat(F.regexp_replace(x, r"\.000000$|(?<=\.\d{3})000$", ""), F.lit("Z"))
 
 
 def datetime_text(x: Column) -> Column:
-    return F.concat(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss"), _fraction(x), F.lit("Z"))
+    return _short(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
 def time_text(x: Column) -> Column:
-    return F.concat(F.date_format(x, "HH:mm:ss"), _fraction(x), F.lit("Z"))
+    return _short(F.date_format(x, "HH:mm:ss.SSSSSS"))
 
 
 def java_pattern(strftime: str) -> str:

@@ -18,6 +18,10 @@ UNITS = {
 }
 
 
+#: Symbols whose upper case is another unit than their lower case.
+CASED = {"S": "SIE", "H": "81", "T": "D33"}
+
+
 def fold(x: Column) -> Column:
     """Notations that mean the same, alike: micro signs, raised digits, dots and spaces."""
     x = F.translate(F.lower(F.trim(x)), "µμ²³·⋅", "uu23..")
@@ -25,7 +29,8 @@ def fold(x: Column) -> Column:
 
 
 def code(x: Column, units: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """The code of a unit's code, symbol or name; null if there is none or more than one."""
+    """The code of a unit's code, symbol or name; null if there is none or more than one. Case counts only for symbols that
+    mean different units by it."""
     owners: dict[str, set[str]] = {}
     for c, names in (units or UNITS).items():
         for n in (c.lower(), *names):
@@ -33,4 +38,5 @@ def code(x: Column, units: dict[str, tuple[str, ...]] | None = None) -> Column:
     for c in units or UNITS:  # a code that stands by itself is that code
         owners[c.lower()] = {c}
     known = F.create_map(*[F.lit(y) for n, cs in sorted(owners.items()) if len(cs) == 1 for y in (n, *cs)])
-    return F.try_element_at(known, fold(x))
+    cased = F.create_map(*[F.lit(v) for pair in CASED.items() for v in pair])
+    return F.coalesce(F.try_element_at(cased, F.trim(x)), F.try_element_at(known, fold(x)))

@@ -36,13 +36,10 @@ class Attribute:
             raise ValueError(f"{self.name!r} is a reserved name")
 
 
-def text_json(x: Column) -> Column:
-    return F.regexp_extract(F.to_json(F.struct(x.cast("string").alias("v"))), r'^\{"v":(.*)\}$', 1)
-
-
 def quoted(x: Column) -> Column:
-    """Text as JSON; null stays null."""
-    return F.when(x.isNotNull(), text_json(x))
+    """Text as JSON; null stays null (its object has no member to find). The operand stands in the result once, so that
+    nested uses don't multiply it."""
+    return F.regexp_substr(F.to_json(F.struct(x.cast("string").alias("v"))), F.lit(r'(?<=^\{"v":).*(?=\}$)'))
 
 
 def number(x: Column) -> Column:
@@ -63,7 +60,7 @@ def listed(items: Column, quote: bool = True) -> Column:
 
 
 def _object(members: list[tuple[str, Column]]) -> Column:
-    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{n}":'), v)) for n, v in members]
+    parts = [F.concat(F.lit(f'"{n}":'), v) for n, v in members]  # null where the value is
     return F.concat(F.lit("{"), F.array_join(F.array(*parts), ","), F.lit("}"))
 
 
@@ -83,8 +80,8 @@ def concise_attribute(a: Attribute) -> Column:
     whole = _object([(VALUE[a.kind], a.value), *extra])
     if a.kind in ("Property", "GeoProperty", "ListProperty"):
         bare = F.lit(True)
-        for _, v in extra:
-            bare = bare & v.isNull()
+        for raw in (a.value_type, a.observed_at, a.expires_at, a.unit_code, a.dataset_id, *[n.value for n in a.nested]):
+            bare = bare if raw is None else bare & raw.isNull()
         if a.kind != "ListProperty":
             whole = F.when(bare & ~a.value.startswith('{"value"'), a.value).otherwise(whole)
     return F.when(a.value.isNotNull(), whole)

@@ -87,7 +87,7 @@ def flt_05_tests(spark, sf_dir):
 def flt_12_time_window(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     low = e.agg(F.min("ts").alias("low"))
-    return e.join(F.broadcast(low), (F.col("ts") >= F.expr("low + INTERVAL 1 DAY")) & (F.col("ts") < F.expr("low + INTERVAL 3 DAY"))).select("event_id")
+    return e.where((F.col("ts") >= low.select(F.expr("low + INTERVAL 1 DAY")).scalar()) & (F.col("ts") < low.select(F.expr("low + INTERVAL 3 DAY")).scalar())).select("event_id")
 
 
 # Casts
@@ -409,7 +409,17 @@ def val_02_schema_verdicts(spark, sf_dir):
     return o.withColumn("found", validate.check(F.col("entity"), schema)).select("o_orderkey", v.alias("verdict"), validate.written("fail-when-schema", v).alias("written"))
 
 
-@query()
+def _geohash_sql(lat: str, lon: str, precision: int = 9) -> str:
+    """Cells of both coordinates, their bits interleaved, five to a character."""
+    bits = precision * 5
+    lon_bits, lat_bits = (bits + 1) // 2, bits // 2
+    x, y = (f"CAST(least(floor(({v} + {low}) / {width} * {1 << n}), {(1 << n) - 1}) AS BIGINT)" for v, low, width, n in ((lon, 180, 360.0, lon_bits), (lat, 90, 180.0, lat_bits)))
+    bit = lambda k: f"((x >> {lon_bits - 1 - k // 2}) & 1)" if k % 2 == 0 else f"((y >> {lat_bits - 1 - k // 2}) & 1)"
+    chars = [f"substr('{geo.BASE32}', CAST(1 + " + " + ".join(f"{bit(5 * c + b)} * {1 << (4 - b)}" for b in range(5)) + " AS BIGINT), 1)" for c in range(precision)]
+    return f"SELECT c_custkey, {' || '.join(chars)} AS hash FROM (SELECT c_custkey, {x} AS x, {y} AS y FROM customer)"
+
+
+@query(_geohash_sql("(c_custkey % 170 - 85.0)", "(c_custkey % 360 - 180.0)"))
 def geo_01_geohash_grid(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").withColumns({"lon": F.col("c_custkey") % 360 - 180.0, "lat": F.col("c_custkey") % 170 - 85.0})
     return c.select("c_custkey", geo.geohash(F.col("lat"), F.col("lon")).alias("hash"))
@@ -518,3 +528,83 @@ def map_02_synthetic_entities(spark, sf_dir):
 
     m = {"version": "v4", "dataModel": "Order", "identity": {"entityName": "{{ o_orderkey }}"}, "attributes": {"buyer": {"type": "Relationship", "syntheticEntity": {"dataModel": "Buyer", "identity": {"entityName": "{{ o_custkey }}"}, "attributes": {"key": {"source": "{{ o_custkey }}"}}}}}}
     return mapping.run(_t(spark, sf_dir, "orders"), m, "o_orderkey", "concise").select("id", "type")
+
+
+# Geometries whose results follow from their corners
+
+_CORNERS = "CAST(c_custkey % 100 AS DOUBLE) AS x, CAST(c_custkey % 50 AS DOUBLE) AS y, CAST(c_custkey % 100 + 1 AS DOUBLE) AS e, CAST(c_custkey % 50 + 2 AS DOUBLE) AS n"
+_AT = "'[' || {} || ',' || {} || ']'"
+_FOUR = " || ',' || ".join(_AT.format(*p) for p in (("x", "y"), ("e", "y"), ("e", "n"), ("x", "n")))
+_CLOSED = _FOUR + " || ',' || " + _AT.format("x", "y")
+
+
+def _shape(kind: str, coordinates: str) -> str:
+    return f"""'{{"type":"{kind}","coordinates":' || {coordinates} || '}}'"""
+
+
+def _rectangles(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").selectExpr("c_custkey", *[x for x in _CORNERS.split(", ")])
+    at = lambda a, b: F.concat(F.lit("["), F.col(a), F.lit(","), F.col(b), F.lit("]"))
+    four = F.concat_ws(",", at("x", "y"), at("e", "y"), at("e", "n"), at("x", "n"))
+    return c.withColumns({"four": four, "closed": F.concat_ws(",", four, at("x", "y")), "far": F.concat_ws(",", *[F.concat(F.lit("["), F.col(a) + 3 * i, F.lit(","), F.col(b) + 3 * j, F.lit("]")) for a, b, i, j in (("e", "y", 1, 0), ("e", "y", 2, 0), ("e", "y", 2, 1), ("e", "y", 1, 1), ("e", "y", 1, 0))])})
+
+
+def _json(kind: str, opened: str, inner: str, closed: str):
+    return F.concat(F.lit(f'{{"type":"{kind}","coordinates":{opened}'), F.col(inner), F.lit(f"{closed}}}"))
+
+
+@query(f"""SELECT c_custkey, {_shape("Point", _AT.format("x + 0.5", "y + 1.0"))} AS centroid, {_shape("Point", _AT.format("x + 0.5", "y + 1.0"))} AS inside, {_shape("Point", _AT.format("x", "y"))} AS first_vertex, {_shape("LineString", f"'[' || {_CLOSED} || ']'")} AS exterior, {_shape("LineString", f"'[' || {_CLOSED} || ']'")} AS boundary, {_shape("Polygon", f"'[[' || {_CLOSED} || ']]'")} AS hull, {_shape("Polygon", f"'[[' || {_CLOSED} || ']]'")} AS envelope, {_shape("MultiPoint", f"'[' || {_FOUR} || ']'")} AS vertices FROM (SELECT c_custkey, {_CORNERS} FROM customer)""")
+def geo_13_area_strategies(spark, sf_dir):
+    c = _rectangles(spark, sf_dir)
+    g = _json("Polygon", "[[", "closed", "]]")
+    ways = {"centroid": ("Point", "centroid"), "inside": ("Point", "point-on-surface"), "first_vertex": ("Point", "first-vertex"), "exterior": ("LineString", "exterior-ring"), "boundary": ("LineString", "boundary"), "hull": ("Polygon", "convex-hull"), "envelope": ("Polygon", "envelope"), "vertices": ("MultiPoint", "vertices")}
+    return c.select("c_custkey", *[geo.convert(g, to, using).alias(n) for n, (to, using) in ways.items()])
+
+
+@query(f"""SELECT c_custkey, {_shape("LineString", f"'[' || {_FOUR} || ']'")} AS line, {_shape("Polygon", f"'[[' || {_CLOSED} || ']]'")} AS ring, {_shape("Polygon", f"'[[' || {_CLOSED} || ']]'")} AS first, {_shape("Polygon", "'[[' || " + " || ',' || ".join(_AT.format(f"e + {3 * i}", f"y + {3 * j}") for i, j in ((1, 0), (2, 0), (2, 1), (1, 1), (1, 0))) + " || ']]'")} AS largest, {_shape("MultiPolygon", f"'[[[' || {_CLOSED} || ']]]'")} AS promoted FROM (SELECT c_custkey, {_CORNERS} FROM customer)""")
+def geo_19_points_and_parts(spark, sf_dir):
+    c = _rectangles(spark, sf_dir).withColumn("two", F.concat(F.lit("[["), F.col("closed"), F.lit("]],[["), F.col("far"), F.lit("]]")))
+    points, areas = _json("MultiPoint", "[", "four", "]"), _json("MultiPolygon", "[", "two", "]")
+    return c.select("c_custkey", geo.convert(points, "LineString", "connect").alias("line"), geo.convert(points, "Polygon", "ring").alias("ring"), geo.convert(areas, "Polygon", "first").alias("first"), geo.convert(areas, "Polygon", "largest").alias("largest"), geo.convert(_json("Polygon", "[[", "closed", "]]"), "MultiPolygon").alias("promoted"))
+
+
+@query("""SELECT c_custkey, '{"type":"Point","coordinates":[' || CAST(-(c_custkey % 170 + 0.25) AS DOUBLE) || ',' || CAST(c_custkey % 80 + 0.5 AS DOUBLE) || ']}' AS point, c_custkey % 400 - 200 BETWEEN -180 AND 180 AND c_custkey % 200 - 100 BETWEEN -90 AND 90 AS fits FROM customer""")
+def geo_02_dms_point(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select("c_custkey", geo.dms_point(F.format_string("%d°30'0\"N %d°15'0\"W", k % 80, k % 170)).alias("point"), geo.in_range((k % 400 - 200).cast("double"), (k % 200 - 100).cast("double")).alias("fits"))
+
+
+# Text and instants
+
+
+@query("""SELECT p_partkey, CAST(len(regexp_extract_all(p_name || ' / ' || p_type, '[^ ]+')) AS BIGINT) AS words, url_encode(p_name || '/' || p_type) AS strict, replace(url_encode(p_name || '/' || p_type), '%2F', '/') AS loose, '["' || p_name || '","' || p_brand || '"]' AS json FROM part""")
+def fns_31_wordcount_urlencode_json(spark, sf_dir):
+    p, both = _t(spark, sf_dir, "part"), F.concat("p_name", F.lit("/"), "p_type")
+    return p.select("p_partkey", text.wordcount(F.concat("p_name", F.lit(" / "), "p_type")).alias("words"), text.urlencode(both).alias("strict"), text.urlencode(both, strict=False).alias("loose"), text.json_encode(F.array("p_name", "p_brand")).alias("json"))
+
+
+@query("""SELECT doc_id, replace(text, chr(10), '<br>') AS broken, replace(text, chr(10), chr(10) || '  ') AS indented, CASE WHEN doc_id % 3 = 1 THEN 'y' ELSE 'ies' END AS plural, list_aggregate(range(doc_id % 5), 'string_agg', ',') AS counted FROM documents WHERE NOT contains(text, chr(13))""")
+def fns_07_breaks_indent_plural_range(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").where(~F.col("text").contains("\r"))
+    numbers = text.range_((F.col("doc_id") % 5).cast("int"))
+    return d.select("doc_id", text.newlines_to_br(F.col("text")).alias("broken"), text.indent(F.col("text"), 2).alias("indented"), text.pluralize(F.col("doc_id") % 3, "y", "ies").alias("plural"), F.when(F.size(numbers) > 0, text.join(numbers, ",")).alias("counted"))
+
+
+_STAMPS = {"spaced": "date_trunc('minute', ts)", "dotted": "date_trunc('minute', ts)", "day_first": "date_trunc('second', ts)", "no_zone": "NULL", "year_only": "NULL", "offset": "date_trunc('second', ts) - INTERVAL 2 HOUR", "named_zone": "CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) END"}
+
+
+@query(" UNION ALL ".join(f"SELECT event_id, '{n}' AS notation, CAST({t} AS TIMESTAMP) AS t FROM events" for n, t in _STAMPS.items()))
+def cst_14_stamps(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    at = lambda pattern: F.date_format("ts", pattern)
+    rfc = "yyyy-MM-dd'T'HH:mm:ss"
+    stamps = {"spaced": at("yyyy-MM-dd HH:mm"), "dotted": at("yyyy-MM-dd HH.mm"), "day_first": at("dd/MM/yyyy HH:mm:ss"), "no_zone": at(rfc), "year_only": at("yyyy"), "offset": F.concat(at(rfc), F.lit("+02:00")), "named_zone": F.concat(at(rfc), F.lit("Z"), F.when(F.col("event_id") % 2 == 0, "[Africa/Abidjan]").otherwise("[Asia/Tokyo]"))}
+    each = e.select("event_id", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in stamps]), F.array(*stamps.values()))).alias("notation", "stamp"))
+    return each.select("event_id", "notation", temporal.datetime(F.col("stamp")).cast("timestamp_ntz").alias("t"))
+
+
+@query("""SELECT p_partkey, p_name || '|x|' || p_brand AS items FROM part""")
+def cst_07_array_parts(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    return p.select("p_partkey", F.array_join(casts.array(F.col("p_name"), F.lit('["x",""," "]'), F.lit(None).cast("string"), F.col("p_brand")), "|").alias("items"))

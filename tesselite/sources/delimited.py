@@ -8,7 +8,7 @@ import io
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +108,25 @@ def keys(rows: list[list[str]]) -> list[str]:
     return out
 
 
+def _below(df: DataFrame, rows: list[list[str]], lines: list[str], width: int) -> DataFrame:
+    """Rows without those above the table: of the rows of a file's first block that read like one of them, the first in the
+    file, as often as it stands there. Equal rows further down stay."""
+    raw = F.concat_ws("\u0001", *[F.coalesce(F.col(f"c{k}"), F.lit("")) for k in range(width)])
+    read = ["\u0001".join(r) for r in rows]
+    which = F.lit(None).cast("string")
+    for x, line in zip(read, lines, strict=True):
+        which = F.coalesce(which, F.when((raw == x) | F.coalesce(F.col("_bad") == line, F.lit(False)), F.lit(x)))
+    place = F.monotonically_increasing_id()
+    held = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), place.alias("_at"))
+    held = held.withColumn("_is", F.when(F.col("_start") == 0, which))
+    times = F.lit(0)
+    for x in dict.fromkeys(read):
+        times = F.when(F.col("_is") == x, read.count(x)).otherwise(times)
+    rank = F.row_number().over(Window.partitionBy("_file", "_is").orderBy("_at"))
+    again = held.where("_is is not null").withColumn("_rank", rank).where(F.col("_rank") > times)
+    return held.where("_is is null").select(*df.columns).unionByName(again.select(*df.columns))
+
+
 def read_delimited(spark: SparkSession, path: str, dialect: Dialect | None = None, typed: bool = True) -> DataFrame:
     """Records with ``_ok`` (false where the row's width is wrong). Fields are variants typed value by value, or text.
     Only the head of the file is looked at by the driver; rows are parsed by Spark."""
@@ -120,12 +139,10 @@ def read_delimited(spark: SparkSession, path: str, dialect: Dialect | None = Non
     width = len(table[0]) if table else 0
     names = keys(table[: dialect.header_rows]) if dialect.header else [str(k) for k in range(width)]
     schema = T.StructType([*[T.StructField(f"c{k}", T.StringType()) for k in range(width)], T.StructField("_bad", T.StringType())])
-    df = spark.read.schema(schema).options(**options, columnNameOfCorruptRecord="_bad").csv(path)
-    dropped = head[: dialect.skip_rows + (dialect.header_rows if dialect.header else 0)]
-    raw = F.concat_ws("\u0001", *[F.coalesce(F.col(f"c{k}"), F.lit("")) for k in range(width)])
-    for line, cells in zip(dropped, parsed, strict=False):
-        padded = [*cells, *[""] * (width - len(cells))][:width]
-        df = df.where(~((raw == "\u0001".join(padded)) | F.coalesce(F.col("_bad") == line, F.lit(False))))
+    above = dialect.skip_rows + (dialect.header_rows if dialect.header else 0)
+    df = spark.read.schema(schema).options(**options, header=above == 1, columnNameOfCorruptRecord="_bad").csv(path)
+    if above > 1:
+        df = _below(df, [[*cells, *[""] * width][:width] for cells in parsed[:above]], head[:above], width)
     trailing = F.col("_bad").endswith(dialect.delimiter) & (F.size(F.split("_bad", re.escape(dialect.delimiter))) == width + 1)
     ok = F.col("_bad").isNull() | trailing
     value = (lambda k: casts.infer(F.col(f"c{k}"), dialect.null_values, dialect.decimal_separator)) if typed else (lambda k: F.col(f"c{k}"))

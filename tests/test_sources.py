@@ -10,7 +10,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tesselite.operators import resolve, validate
+from tesselite.functions import units
+from tesselite.operators import represent, resolve, validate
 from tesselite.sources import delimited, documents, gridded, sinks, vector
 from tesselite.streaming import incremental, schedule
 
@@ -26,6 +27,26 @@ def test_delimited(spark, tmp_path):
     assert df.where("not _ok").count() == 1
 
 
+@pytest.mark.parametrize("above", ["", "Title of it\n"])
+def test_delimited_keeps_rows_equal_to_the_header(spark, tmp_path, above):
+    for k in range(3):  # files of different sizes
+        (tmp_path / f"{k}.csv").write_text(f"{above}id,name\n1,x{k}\nid,name\n" + "2,y\n" * k)
+    d = delimited.Dialect(",", skip_rows=1 if above else 0)
+    rows = delimited.read_delimited(spark, str(tmp_path), d, typed=False).where("_ok").collect()
+    want = [row for k in range(3) for row in [("1", f"x{k}"), ("id", "name"), *[("2", "y")] * k]]
+    assert sorted((r["id"], r["name"]) for r in rows) == sorted(want)
+
+
+def test_unit_symbols_by_case(spark):
+    rows = spark.createDataFrame([("S",), ("s",), ("h",), ("H",), ("KM",), ("Celsius",)], "x string").select(units.code(F.col("x"))).collect()
+    assert [r[0] for r in rows] == ["SIE", "SEC", "HUR", "81", "KMT", "CEL"]
+
+
+def test_quoted_keeps_null_and_escapes(spark):
+    rows = spark.createDataFrame([(None,), ("",), ('a"}b\n',)], "x string").select(represent.quoted(F.col("x"))).collect()
+    assert [r[0] for r in rows] == [None, '""', json.dumps('a"}b\n')]
+
+
 def test_dialect():
     d = delimited.detect("a;b;c\n1,5;x;2020-01-01\n2,5;y;2020-01-02\n")
     assert (d.delimiter, d.header, d.decimal_separator) == (";", True, ",")
