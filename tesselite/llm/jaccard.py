@@ -16,7 +16,8 @@ number of tokens falls there; differing bits bound the symmetric difference from
 with the most shared signatures for a first check of the whole sets, and further pairs are checked only where the two
 are still in different components. Buckets that hold several components afterwards are compared within, by
 array arithmetic on sketches, large ones in blocks: only pairs of different components, and of the largest component
-only against the others. So each pair of sets that links is checked on the whole sets or is already connected.
+only against the others. Of the pairs that could link, those that connect the components (the most alike first) are checked
+before; all others only where their components are still different. So each pair of sets that links is checked on the whole sets or is already connected.
 
 Token counts only choose the order, on which exactness does not depend: the broadcast table of frequent tokens
 is bounded by raising the count from which a token is frequent.
@@ -106,9 +107,10 @@ class Sketches:
             found = found[:, :half] ^ found[:, half:]
         return found
 
-    def could_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether 100 |A and B| >= percent |A or B| is possible by sizes and sketches. With d tokens in one set alone
-        that is d (100 + percent) <= (100 - percent) (|A| + |B|)."""
+    def could_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether 100 |A and B| >= percent |A or B| is possible by sizes and sketches, and the share of differing bits. With
+        d tokens in one set alone that is d (100 + percent) <= (100 - percent) (|A| + |B|)."""
+        share = np.zeros(len(a))
         p, total = self.percent, self.size[a] + self.size[b]
         ok = 100 * np.minimum(self.size[a], self.size[b]) >= p * np.maximum(self.size[a], self.size[b])
         wide = self.words[a] * (1 << 20) + self.words[b]
@@ -119,7 +121,8 @@ class Sketches:
                 at = every[k : k + step]
                 differ = np.bitwise_count(self._of(a[at], x, min(x, y)) ^ self._of(b[at], y, min(x, y))).sum(axis=1, dtype=np.int64)
                 ok[at] = differ * (100 + p) <= (100 - p) * total[at]
-        return ok
+                share[at] = differ / total[at]
+        return ok, share
 
 
 def _count(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
@@ -286,7 +289,7 @@ def _pruned(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         for g in batches:
             n = g.num_rows
             known = Sketches(g.column(5).to_pylist() + g.column(6).to_pylist(), np.concatenate([g.column(3).to_numpy(), g.column(4).to_numpy()]), percent)
-            yield g.select([0, 1, 2]).filter(pa.array(known.could_link(np.arange(n), np.arange(n) + n)))
+            yield g.select([0, 1, 2]).filter(pa.array(known.could_link(np.arange(n), np.arange(n) + n)[0]))
 
     return both.mapInArrow(fn, "a binary, b binary, weight long")
 
@@ -308,21 +311,42 @@ def _pairs_within(runs: np.ndarray, own: np.ndarray, i: int, j: int) -> Iterator
             yield (s + x).ravel(), (s + y).ravel()
 
 
-def _within(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs of members (sig, class, n, root, sketch) of one bucket but of different roots that could link. Small buckets
+def _forest(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Of pairs of root numbers those that join all that the pairs join, the most alike first."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    keep = []
+    order = np.argsort(share, kind="stable")
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _within(members: DataFrame, sketches: DataFrame, percent: int, parts: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of members (sig, class, n, root) of one bucket but of different roots that could link. Small buckets
     are compared many at a time; a larger one is dealt into blocks, by whether a member is of the bucket's most common
-    root, and each pair of blocks is compared by itself, but those of two blocks of that root."""
+    root, and each pair of blocks is compared by itself, but those of two blocks of that root. With forest, of the pairs
+    found together only those that connect their roots are given, and rows without a pair name the buckets (sig) that
+    hold any."""
     roots = members.groupBy("sig", "root").agg(F.count("*").alias("m"))
     most = roots.groupBy("sig").agg(F.sum("m").alias("m"), F.max("m").alias("x"), F.max_by("root", "m").alias("top")).select(F.col("sig").alias("of"), "m", "x", "top")
     dealt = members.join(most, F.col("sig") == F.col("of")).drop("of")
-    small = dealt.where(F.col("m") <= BLOCK).select(F.pmod(F.xxhash64("sig"), F.lit(parts)).alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "sig", "class", "n", "root", "sketch")
+    small = dealt.where(F.col("m") <= BLOCK).select(F.pmod(F.xxhash64("sig"), F.lit(parts)).alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "sig", "class", "n", "root")
     minor = F.ceil((F.col("m") - F.col("x")) / BLOCK).cast("int")
     major = F.ceil(F.col("x") / BLOCK).cast("int")
     large = dealt.where(F.col("m") > BLOCK).withColumns({"a": minor, "b": major, "top": F.col("root") == F.col("top")}).where("a > 0")
     own = F.when(F.col("top"), F.col("a") + F.pmod(F.xxhash64("class"), F.col("b"))).otherwise(F.pmod(F.xxhash64("class"), F.col("a"))).cast("int")
     # Blocks of the most common root meet the others only; these meet every block.
     large = large.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("top"), F.col("a")).otherwise(F.col("a") + F.col("b")) - 1)))
-    large = large.select(F.col("sig").alias("key"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "sig", "class", "n", "root", "sketch")
+    large = large.select(F.col("sig").alias("key"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "sig", "class", "n", "root")
 
     def fn(key, group):
         sig = group.column("sig").to_numpy()
@@ -330,16 +354,29 @@ def _within(members: DataFrame, percent: int, parts: int) -> DataFrame:
         sig, own = group.column("sig").to_numpy(), group.column("own").to_numpy()
         names, (i, j) = group.column("class").to_pylist(), (key[1].as_py(), key[2].as_py())
         known = Sketches(group.column("sketch").to_pylist(), group.column("n").to_numpy(), percent)
-        root = np.frombuffer(b"".join(group.column("root").to_pylist()), np.uint64).reshape(-1, 2)
-        found = set()
+        _, root = np.unique(np.frombuffer(b"".join(group.column("root").to_pylist()), np.uint64).reshape(-1, 2), axis=0, return_inverse=True)
+        root = root.ravel()
+        found, held, lot = set(), set(), [np.zeros((4, 0))]
         for a, b in _pairs_within(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])), own, i, j):
-            apart = (root[a] != root[b]).any(axis=1)
+            apart = root[a] != root[b]
             a, b = a[apart], b[apart]
-            ok = known.could_link(a, b)
-            found.update((min(names[x], names[y]), max(names[x], names[y])) for x, y in zip(a[ok], b[ok], strict=True))
-        return pa.table({"a": pa.array([p for p, _ in found], pa.binary()), "b": pa.array([q for _, q in found], pa.binary())})
-
-    return small.unionByName(large).groupBy("key", "i", "j").applyInArrow(fn, "a binary, b binary").distinct()
+            ok, share = known.could_link(a, b)
+            a, b, share = a[ok], b[ok], share[ok]
+            if not forest:
+                found.update((min(names[x], names[y]), max(names[x], names[y])) for x, y in zip(a, b, strict=True))
+            elif len(a):
+                held.update(np.unique(sig[a]).tolist())
+                both = np.concatenate([lot[-1], np.stack([root[a], root[b], a, b]).astype(np.float64)], axis=1)
+                shares = np.concatenate([shares, share]) if lot[-1].shape[1] else share
+                keep = _forest(both[0].astype(np.int64), both[1].astype(np.int64), shares)
+                lot, shares = [both[:, keep]], shares[keep]
+        for x, y in lot[-1][2:].astype(np.int64).T.tolist():
+            found.add((min(names[x], names[y]), max(names[x], names[y])))
+        n, m = len(found), len(held)
+        return pa.table({"a": pa.array([p for p, _ in found] + [None] * m, pa.binary()), "b": pa.array([q for _, q in found] + [None] * m, pa.binary()), "sig": pa.array([None] * n + sorted(held), pa.int64())})
+
+    rows = small.unionByName(large).join(sketches.select(F.col("class").alias("c"), "sketch"), F.col("class") == F.col("c")).drop("c")
+    return rows.groupBy("key", "i", "j").applyInArrow(fn, "a binary, b binary, sig long")
 
 
 def verify(steps: Steps, docs: DataFrame, first: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -471,16 +508,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = steps.write(rest, "rest")
     if not rest.isEmpty():
         root = _merge(steps, root, verify(steps, rows, first, rest, width, percent))
-    # Buckets that hold several components.
-    at = buckets.join(root, F.col("class") == F.col("node"), "left").select("sig", "class", "n", F.coalesce("root", "class").alias("root"))
-    at = steps.write(at, "members")
-    split = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select(F.col("sig").alias("s"))
-    at = at.join(split, F.col("sig") == F.col("s"), "left_semi").join(sketches.select(F.col("class").alias("c"), "sketch"), F.col("class") == F.col("c")).drop("c")
-    at = steps.write(at, "split")
-    parts = max(1, int(at.agg(F.sum(F.octet_length("sketch") + 60)).first()[0] or 0) // GROUP_BYTES * 2) + int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = steps.write(_within(at, percent, parts).join(star.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        root = _merge(steps, root, verify(steps, rows, first, more, width, percent))
+    # Buckets that hold several components: first the most alike pairs that would connect them, then all pairs that could
+    # link in the buckets where such pairs are still apart.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checked, some = near.select("a", "b"), None
+    for forest in (True, False):
+        at = buckets if some is None else buckets.join(some, F.col("sig") == F.col("s"), "left_semi")
+        at = at.join(root, F.col("class") == F.col("node"), "left").select("sig", "class", "n", F.coalesce("root", "class").alias("root"))
+        at = steps.write(at, "members")
+        split = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select(F.col("sig").alias("s"))
+        at = at.join(split, F.col("sig") == F.col("s"), "left_semi")
+        bytes_ = at.count() * (sketches.agg(F.avg(F.octet_length("sketch"))).first()[0] or 0.0) * 2
+        found = steps.write(_within(at, sketches, percent, parts + int(bytes_ / GROUP_BYTES), forest), "within")
+        more = steps.write(found.where("a is not null").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "more")
+        some = found.where("sig is not null").select(F.col("sig").alias("s")).distinct()
+        if not more.isEmpty():
+            root = _merge(steps, root, verify(steps, rows, first, more, width, percent))
+        release(spark)
+        checked = checked.unionByName(more)
+        if forest and found.isEmpty():
+            break
     named = steps.write(first.join(root, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
     named = steps.write(named.join(least, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "component_id"), "named")
