@@ -82,9 +82,10 @@ def spread(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens + np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens in each cell, as many cells as the power of two from the number of tokens on."""
-    words = 1 << max(0, int(len(tokens) - 1).bit_length() - 6)
+def sketch(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Parity of the number of tokens in each cell, a power of two of cells, at least about 9 for each token that two sets
+    that link may differ in."""
+    words = 1 << max(0, int(max(0, len(tokens) * min(100, 5 * (100 - percent)) // 100 - 1)).bit_length() - 6)
     cell = mix(tokens) & np.uint64(words * 64 - 1)
     out = np.zeros(words, np.uint64)
     np.bitwise_xor.at(out, (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
@@ -263,7 +264,7 @@ def _index(docs: DataFrame, width: int, order) -> DataFrame:
                 name = class_of(s) if len(s) else None
                 new = name is not None and name not in seen
                 names.append(name)
-                sketches.append(sketch(s).tobytes() if new else None)
+                sketches.append(sketch(s, order.value.percent).tobytes() if new else None)
                 if new:
                     seen[name] = len(s)
                     sigs.append(order.value.signatures(s) if len(s) > 1 else s[:0])
@@ -494,9 +495,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sketches = both.where("kind = 0 and sketch is not null").select("class", "n", "sketch").dropDuplicates(["class"])
     # Buckets of one set only are left out.
     index = both.where("kind = 1").select("sig", "class", "n")
-    centre = index.groupBy("sig").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select(F.col("sig").alias("s"), "a")
-    buckets = steps.write(index.join(centre, F.col("sig") == F.col("s")).select("sig", "class", "n", "a").distinct(), "buckets")
-    star = buckets.where("class <> a").groupBy("a", F.col("class").alias("b")).agg(F.count("*").alias("weight"))
+    centre = index.groupBy("sig").agg(F.min(F.struct("class", "n")).alias("c"), F.max("class").alias("z")).where("c.class <> z").select(F.col("sig").alias("s"), F.col("c.class").alias("a"), F.col("c.n").alias("na"))
+    buckets = steps.write(index.join(centre, F.col("sig") == F.col("s")).select("sig", "class", "n", "a", "na").distinct(), "buckets")
+    fit = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
+    star = buckets.where((F.col("class") != F.col("a")) & fit).groupBy("a", F.col("class").alias("b")).agg(F.count("*").alias("weight"))
     star = steps.write(star, "met")
     sketches = steps.write(sketches.join(buckets.select("class").distinct(), "class", "left_semi"), "sketches")
     near = steps.write(_pruned(star, sketches, percent), "near")
@@ -516,8 +518,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         at = buckets if some is None else buckets.join(some, F.col("sig") == F.col("s"), "left_semi")
         at = at.join(root, F.col("class") == F.col("node"), "left").select("sig", "class", "n", F.coalesce("root", "class").alias("root"))
         at = steps.write(at, "members")
-        split = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select(F.col("sig").alias("s"))
-        at = at.join(split, F.col("sig") == F.col("s"), "left_semi")
+        # Sizes that fit are of one band or of two next to each other; a member with no other there is left out.
+        band = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
+        at = at.withColumn("band", band.cast("int"))
+        split = at.groupBy("sig", "band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"))
+        split = split.groupBy("sig").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("band", "m"))).alias("of")).where("x <> y and m > 2").select(F.col("sig").alias("s"), "of")
+        around = sum((F.coalesce(F.try_element_at("of", F.col("band") + k), F.lit(0)) for k in (-1, 1)), F.coalesce(F.try_element_at("of", F.col("band")), F.lit(0)))
+        at = steps.write(at.join(split, F.col("sig") == F.col("s")).where(around > 1).select("sig", "class", "n", "root"), "split")
         bytes_ = at.count() * (sketches.agg(F.avg(F.octet_length("sketch"))).first()[0] or 0.0) * 2
         found = steps.write(_within(at, sketches, percent, parts + int(bytes_ / GROUP_BYTES), forest), "within")
         more = steps.write(found.where("a is not null").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "more")
