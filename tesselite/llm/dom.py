@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">]++)*+>|[^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\bhidden\b)""")
@@ -45,10 +47,14 @@ def attributes(raw: str) -> dict[str, str]:
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order (the first is the page itself; a parent stands before its children), and the
     page's text in order: (number of the innermost block, text). Texts of separate runs are separate blocks; line
-    breaks are white space; what is never shown is left out."""
+    breaks are white space; what is never shown is left out. Time is linear in the page, however deep it is nested: the
+    places of open elements are kept by name."""
     nodes = [Node("html", "", -1)]
     runs: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, each with the block it is in or is
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack by name
+    blocks = [0]  # places of blocks in the stack
+    endless: set[str] = set()  # names without a further end tag
     parts: list[str] = []
     links, at, end = 0, 0, len(page)
 
@@ -67,12 +73,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if links:
                 nodes[stack[-1][1]].linked += len(raw.strip())
 
+    def push(name: str, block: int) -> None:
+        opened[name].append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
+        stack.append((name, block))
+
+    def innermost(names) -> int:
+        return max((opened[x][-1] for x in names if opened.get(x)), default=0)
+
     def close(k: int) -> None:
         nonlocal links
         flush()
-        for name, _ in stack[k:]:
-            links -= name == "a"
-        del stack[k:]
+        while len(stack) > k:
+            name, _ = stack.pop()
+            if name:
+                opened[name].pop()
+                links -= name == "a"
+        while blocks[-1] >= len(stack):
+            blocks.pop()
 
     while at < end:
         m = _TAG.search(page, at)
@@ -90,24 +109,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if name == "br":
                 parts.append(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK:
-                        close(k)
-                    else:  # an inline end tag closes inline elements alone
-                        links -= name == "a"
-                        del stack[k]
-                    break
-                if name not in BLOCK and stack[k][0] in BLOCK:
-                    break
+            k = innermost((name,))
+            if k and name in BLOCK:
+                close(k)
+            elif k > blocks[-1]:  # an inline end tag closes inline elements alone, and leaves its place empty
+                opened[name].pop()
+                links -= name == "a"
+                stack[k] = ("", stack[k][1])
             continue
         if name in UNSEEN and name != "head":
             if not m["rest"].endswith("/>"):
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                stop = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 if stop:
                     at = stop.end()
-                elif name in RAW:
-                    at = end
+                else:
+                    endless.add(name)
+                    at = end if name in RAW else at
             continue
         if name in ("html", "head", "body"):
             continue
@@ -117,35 +134,28 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if name in VOID and name != "hr":
             continue
         if name in PARAGRAPH_ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in FENCES:
-                    break
+            k = innermost(("p",))
+            if k > innermost(FENCES):
+                close(k)
         if name in ENDS:
             names, fences = ENDS[name]
-            found = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in fences:
-                    break
-                if stack[k][0] in names:
-                    found = k
+            fence = innermost(fences)
+            found = [places[bisect_right(places, fence)] for places in map(opened.get, names) if places and places[-1] > fence]
             if found:
-                close(found)
+                close(min(found))
         if name in BLOCK:
             flush()
             if name == "hr":
                 continue
             nodes.append(Node(name, m["rest"], stack[-1][1]))
-            stack.append((name, len(nodes) - 1))
+            push(name, len(nodes) - 1)
             if name == "textarea":
                 stop = re.compile(r"</textarea\s*>", re.I).search(page, at)
                 stop_at = stop.start() if stop else end
                 text(page[at:stop_at])
                 at = stop_at
         elif not m["rest"].endswith("/>"):
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
             links += name == "a"
     close(1)
     flush()

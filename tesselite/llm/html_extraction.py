@@ -111,7 +111,8 @@ class Model:
         own = np.zeros((n, 2))
         own[:, 1] = np.bincount(trees.of, weights=self.node[trees.feature], minlength=n)
         up, message = own.copy(), np.zeros((n, 2))
-        levels = [np.flatnonzero(trees.depth == d) for d in range(int(trees.depth.max()) + 1)] if n else []
+        order = np.argsort(trees.depth, kind="stable")
+        levels = np.split(order, np.searchsorted(trees.depth[order], np.arange(1, int(trees.depth.max()) + 1))) if n else []
         edge = self.edge[trees.kind]
         for at in reversed(levels[1:]):
             message[at] = np.logaddexp.reduce(up[at][:, None, :] + edge[at], axis=2)
