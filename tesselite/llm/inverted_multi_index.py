@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import attach, materialize, table
 
-#: Vectors on which centroids are fitted, entries of a block, queries of a lot, centroids of a half at most, and
-#: vectors on which the walk is measured.
-FITTED, BLOCK, LOT, MOST, TRIALS = 20_000, 4_000, 4_000, 256, 100
+#: Vectors on which centroids are fitted, entries of a block, queries of a lot, centroids of a half at most,
+#: vectors on which the walk is measured, and walks of a task at most.
+FITTED, BLOCK, LOT, MOST, TRIALS, WALKS = 20_000, 4_000, 4_000, 256, 100, 4_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -146,7 +146,10 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
             at = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays([g.column(0).take(at), g.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32()))], ["query", "q", "a", "bs"])
 
-    met = materialize(asked.select("entry", "v").dropDuplicates(["entry"]).mapInArrow(visits, "query long, q array<double>, a int, bs array<int>"), "visits")
+    # Walks are long and their input is small: they are dealt by number, as partitions by size would end in one task.
+    wanted = asked.select("entry", "v").dropDuplicates(["entry"])
+    walkers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // WALKS))
+    met = materialize(wanted.repartition(walkers, "entry").mapInArrow(visits, "query long, q array<double>, a int, bs array<int>"), "visits")
     lots = met.groupBy("a").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
     size = [(int(i), int(-(-c // BLOCK))) for i, c in enumerate(held.sum(axis=1)) if c]
     parts = F.broadcast(spark.createDataFrame(size, "a int, blocks int").join(lots, "a"))  # a row per centroid
