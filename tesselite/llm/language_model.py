@@ -26,9 +26,9 @@ from .common import materialize, release, table, text_of
 from .words import combine, mix, slices, word_hashes
 
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
-#: Bytes of a split of documents; buckets of context frequency (powers of two); bins of each estimate in the
+#: Bytes of a split of documents, and bytes of text whose counts one block of hashes answers; buckets of context frequency (powers of two); bins of each estimate in the
 #: histogram on which weights are learnt.
-SPLIT_BYTES, BUCKETS, BINS = 24_000_000, 24, 40
+SPLIT_BYTES, PART_BYTES, BUCKETS, BINS = 24_000_000, 96_000_000, 24, 40
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -185,9 +185,9 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text")
     base_score (add-half unigrams), score (the model's log10 probability of the whole text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), text_of(text_col).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long")), F.sum(F.when(F.col("held"), 0).otherwise(1))).first()
-    splits, texts = max(parts, -(-(size[0] or 0) // SPLIT_BYTES)), int(size[1] or 0)
+    splits, parts, texts = (*(max(least, -(-(size[0] or 0) // x)) for x in (SPLIT_BYTES, PART_BYTES)), int(size[1] or 0))
     dealt = rows.withColumn("split", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(splits)).cast("int"))
     answers = materialize(counts_of(dealt, parts), "lm-counts")
     release(spark)
