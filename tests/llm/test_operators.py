@@ -51,6 +51,23 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("salted", [1, 100])
+def test_exact_dedup_of_more_groups_than_are_broadcast(spark, monkeypatch, salted):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(exact_dedup, "SALTED", salted)
+    rows = [(k, f"text {k % 7 if k < 140 else 'alone' * (k % 5)} {'same' if k % 3 else k}", "s") for k in range(200)]
+    groups = collections.defaultdict(list)
+    for i, t, _ in rows:
+        groups[t].append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(table(spark, rows)).collect()}
+    assert got == {i: (max(groups[t]), len(groups[t]), i == max(groups[t])) for i, t, _ in rows}
+
+
+def test_exact_dedup_tells_recurring_lengths(docs):
+    plan = exact_dedup._met(docs.select("doc_id", F.octet_length("text").alias("len")), exact_dedup._bits(docs.select(F.lit(1).alias("len")), "len"), "len")
+    assert {(r.doc_id, r.again) for r in plan.collect()} == {(i, len((t or "").encode()) == 1 and t is not None) for i, t, _ in ROWS}
+
+
 def test_exact_dedup_is_native(docs):
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -234,6 +251,72 @@ def test_line_dedup_of_short_lines(spark):
     assert all("版权所有" in r.text for r in line_dedup.line_dedup(table(spark, rows[1:])).collect())  # 59 texts
 
 
+def plain_line_dedup(rows):
+    """The docstring's rules, line by line, without hashes."""
+    words = lambda line: [t.decode() for t in WORD.findall(line.encode().lower())]
+    need = lambda n: 2 if n >= 50 else 3
+    lines = []  # id, text, number, tokens with fields as None, leaf
+    for i, t, _ in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            w = words(line)
+            field = [any(c in "0123456789" for c in x) for x in w]
+            if w:
+                w = tuple(None if f and 2 * sum(field) < len(w) else x for x, f in zip(w, field, strict=True))
+                lines.append((i, t, k, w, (len(w), w[:3])))
+    texts, in_leaf = collections.defaultdict(set), collections.defaultdict(set)
+    for _, t, _, w, leaf in lines:
+        texts[w].add(t)
+        in_leaf[leaf].add(t)
+    at = collections.Counter()
+    for w, held in texts.items():
+        for k, x in enumerate(w):
+            at[len(w), w[:3], k, x] += len(held)
+    template, uses = {}, collections.defaultdict(set)
+    for w, held in texts.items():
+        leaf = (len(w), w[:3])
+        if len(in_leaf[leaf]) < need(len(w)):
+            continue
+        places = [(at[*leaf, k, x], k, x) for k, x in enumerate(w) if x is not None and at[*leaf, k, x] >= need(len(w))]
+        least = max(1, math.ceil(0.6 * sum(x is not None for x in w) - 1e-9))
+        if len(places) >= least:
+            bar = sorted((p[0] for p in places), reverse=True)[least - 1]
+            template[w] = (leaf, tuple(p[1:] for p in places if p[0] >= bar))
+            uses[template[w]] |= held
+    recurs = {u for u, held in uses.items() if len(held) >= need(u[0][0]) and len(held) * u[0][0] >= 60}
+    first = {}
+    for i, _, k, w, _ in lines:
+        u = template.get(w)
+        first[u] = min(first.get(u, (True, math.inf, 0)), (i is not None, i or 0, k))
+    gone = {(i, t, k) for i, t, k, w, _ in lines if template.get(w) in recurs and first[template[w]] != (i is not None, i or 0, k)}
+    return [(i, t if t is None or not any((i, t, k) in gone for k in range(t.count("\n") + 1)) else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, t, k) not in gone)) for i, t, _ in rows]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_dedup_by_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    pick = lambda *x: x[rng.integers(len(x))]
+    rows = []
+    for k in range(150):
+        lines = []
+        for _ in range(rng.integers(0, 9)):
+            lines.append(
+                pick(
+                    f"posted by {pick('ann', 'bob', 'Cy')} in {pick('news', 'sport')} on {rng.integers(1, 30)} may",
+                    f"all {pick('rights', 'goods', 'lefts')} are {pick('reserved', 'sold', 'gone')} here {pick('a', 'b', 'c', 'd', 'e', 'f')}",
+                    "Read more",
+                    pick("Les.", "", "  ", "x1 y2 z3", "x1 y2 z"),
+                    " ".join(f"p{'abcdefgh'[(j + s) % 8]}" for s in [rng.integers(0, 40)] for j in range(rng.integers(48, 52))),
+                    " ".join(pick("u", "v", "w", "7") for _ in range(rng.integers(1, 8))),
+                )
+            )
+        rows.append((k, "\n".join(lines), "s"))
+    rows += [(None, rows[3][1] + "\nRead more", "s"), (500, None, "s"), (501, rows[4][1], "s"), (7, rows[8][1], "s"), (502, "word " * 30_000 + "\nRead more", "s")]
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.line_dedup(table(spark, rows)).collect()), key=str)
+    want = sorted(plain_line_dedup(rows), key=str)
+    assert got == want
+    assert sum(a != b[:2] for a, b in zip(want, sorted(((i, t) for i, t, _ in rows), key=str), strict=True)) > 50
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(400, 8)).round(2)
@@ -259,6 +342,21 @@ def test_nearest(spark):
     assert len(few) == 2
 
 
+def test_nearest_recall_by_default(spark):
+    """At the production settings, on clustered vectors, against brute force."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = inverted_multi_index.search(df, F.col("vec_id") % 20 == 0).toPandas()
+    assert got.groupby("query_id").size().tolist() == [20] * 150
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = m @ m[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+    assert hits >= 0.9 * 150 * 20
+
+
 def test_toxicity_counterfactuals():
     texts, toxic = [], []
     for k in range(200):
@@ -314,11 +412,50 @@ def test_language_model(spark, none):
     assert language_model.score(none, language_model.held_out(F.col("doc_id"))).count() == 0
 
 
-def test_language_model_sums_to_one():
-    share = np.array([0.6, 0.3, 0.1])
-    one, two = np.array([3, 2, 1]), np.array([2, 1, 0])
-    p = share[0] * two / 3 + share[1] * one / 6 + share[2] / 4
-    assert p.sum() + share[2] / 4 == pytest.approx(1)
+def test_language_model_by_brute_force(spark, monkeypatch):
+    """Scores from plain counts and the learnt shares; the shares against unbinned expectation-maximisation."""
+    rng, shares = np.random.default_rng(4), []
+    learn = language_model.weights
+    monkeypatch.setattr(language_model, "weights", lambda *a: shares.append(learn(*a)) or shares[-1])
+    monkeypatch.setattr(language_model, "PART_BYTES", 3_000)  # more blocks of hashes than partitions
+    chain = [f"W{k}" for k in range(30)]
+    rows = [(k, " ".join(chain[(k + j * (1 + int(rng.integers(0, 2)))) % 30] for j in range(int(rng.integers(0, 60)))), "s") for k in range(120)]
+    rows += [(None, "W1 W2 w3", "s"), (None, "nul", "s"), (500, None, "s"), (501, "never met words", "s"), (502, "w5 " * 20_000, "s")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    texts = [(i, [*WORD.findall((t or "").encode().lower()), "end"]) for i, t, _ in rows]
+    learnt = [w for i, w in texts if not held(i)]
+    one, two = collections.Counter(x for w in learnt for x in w), collections.Counter(p for w in learnt for p in zip(["start", *w], w, strict=False))
+    n, v = sum(one.values()), len(one)
+    context = lambda x: len(learnt) if x == "start" else one[x]
+    bucket = lambda c: min(language_model.BUCKETS - 1, c.bit_length()) if c else 0
+    got = language_model.score(table(spark, rows), language_model.held_out(F.col("doc_id"))).collect()
+    share = shares[0]
+    assert np.allclose(share.sum(axis=1), 1) and (share >= 0).all()
+
+    def plain(w):
+        total = 0.0
+        for a, b in zip(["start", *w], w, strict=False):
+            s = share[bucket(context(a))]
+            total += math.log10(s[0] * two[a, b] / max(context(a), 1) + s[1] * one[b] / n + s[2] / (v + 1))
+        return total
+
+    want = sorted((-1 if i is None else i, round(plain(w), 4)) for i, w in texts)
+    assert [(i, pytest.approx(s, abs=1e-3)) for i, s in want] == sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in got)
+    # Leave one out: every training bigram is judged by the counts of all others.
+    events = collections.defaultdict(list)
+    for w in learnt:
+        for a, b in zip(["start", *w], w, strict=False):
+            events[bucket(context(a) - 1)].append(((two[a, b] - 1) / max(context(a) - 1, 1), (one[b] - 1) / (n - 1), 1 / (v + 1)))
+    for k, f in events.items():
+        if k and len(f) > 200:
+            f, p = np.array(f), np.array([0.5, 0.4, 0.1])
+            for _ in range(200):
+                part = f * p
+                p = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+            assert np.log(f @ share[k]).mean() > np.log(f @ np.maximum(p, 1e-9)).mean() - 0.01
+    # The probabilities of all words after a known one, and of one never met, add up to 1.
+    s, after = share[bucket(one[b"w5"])], [(two[b"w5", x], one[x]) for x in one]
+    assert sum(s[0] * b / one[b"w5"] + s[1] * u / n + s[2] / (v + 1) for b, u in [*after, (0, 0)]) == pytest.approx(1)
 
 
 def waterfilled(sizes, weights, most=3.0):
@@ -380,6 +517,17 @@ def test_dom():
         dom.parse(odd)
 
 
+def test_deep_and_long_pages():
+    """Time is linear in depth and length: these would take minutes otherwise."""
+    for odd in ("<div>" * 100_000 + "x", "<div>" * 50_000 + "</section>" * 50_000 + "x", "<b>" * 50_000 + "</i>" * 50_000 + "x", "<svg>" * 50_000 + "x", "<ul><li>" * 50_000 + "x"):
+        _, runs = dom.parse(odd)
+        assert [t for _, t in runs] == ["x"]
+    deep = "<div>" * 5_000 + "<p>Words of an article, long enough to be taken as such.</p>" + "</div>" * 5_000
+    wide = "<article>" + "".join(f"<p>Sentence {k} of an article, long enough to be taken as such.</p>" for k in range(5_000)) + "</article>"
+    got = html_extraction.fitted().text([deep, wide, "<p>a</b>b</p>"])
+    assert len(got) == 3 and got[1].count("Sentence") == 5_000
+
+
 def test_html_extraction(spark):
     labelled = html_extraction.labelled_pages(200, seed=77)
     got = html_extraction.fitted().text([h for h, _ in labelled])
