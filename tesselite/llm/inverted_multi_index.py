@@ -146,10 +146,11 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
             at = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays([g.column(0).take(at), g.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32()))], ["query", "q", "a", "bs"])
 
-    # Walks are long and their input is small: they are dealt by number, as partitions by size would end in one task.
+    # Walks are long and their input is small: they are dealt by number, as partitions by size would end in one task (and
+    # by another key than the rows already are, or Spark leaves the exchange out).
     wanted = asked.select("entry", "v").dropDuplicates(["entry"])
     walkers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // WALKS))
-    met = materialize(wanted.repartition(walkers, "entry").mapInArrow(visits, "query long, q array<double>, a int, bs array<int>"), "visits")
+    met = materialize(wanted.repartition(walkers, F.xxhash64("entry")).mapInArrow(visits, "query long, q array<double>, a int, bs array<int>"), "visits")
     lots = met.groupBy("a").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
     size = [(int(i), int(-(-c // BLOCK))) for i, c in enumerate(held.sum(axis=1)) if c]
     parts = F.broadcast(spark.createDataFrame(size, "a int, blocks int").join(lots, "a"))  # a row per centroid
