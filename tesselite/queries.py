@@ -608,3 +608,88 @@ def cst_14_stamps(spark, sf_dir):
 def cst_07_array_parts(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     return p.select("p_partkey", F.array_join(casts.array(F.col("p_name"), F.lit('["x",""," "]'), F.lit(None).cast("string"), F.col("p_brand")), "|").alias("items"))
+
+
+# Attribute kinds, sensor snapshots, grids
+
+
+@query("""SELECT 'urn:ngsi-ld:Part:' || p_partkey AS id, '{"id":"urn:ngsi-ld:Part:' || p_partkey || '","type":"Part","size":{"type":"Property","value":' || p_size || ',"unitCode":"CMT"},"maker":{"type":"Relationship","object":"urn:ngsi-ld:Brand:' || replace(p_brand, '#', '') || '"},"words":{"type":"ListProperty","valueList":["' || replace(p_name, ' ', '","') || '"]},"near":{"type":"ListRelationship","objectList":["urn:ngsi-ld:Part:' || p_size || '"' || CASE WHEN p_size <> p_partkey THEN ',"urn:ngsi-ld:Part:' || p_partkey || '"' ELSE '' END || ']},"label":{"type":"LanguageProperty","languageMap":{"en":"' || p_name || '","la":"' || upper(p_name) || '"}},"sort":{"type":"VocabProperty","vocab":"https://x.example/' || p_type || '"},"raw":{"type":"JsonProperty","json":{"k":' || p_size || '}},"place":{"type":"GeoProperty","value":{"type":"Point","coordinates":[' || (p_partkey % 90) || ',' || (p_size % 45) || ']}},"box":{"type":"Property","value":{"brand":"' || p_brand || '","deep":{"size":' || p_size || '}}}}' AS entity FROM part""")
+def idn_07_attribute_kinds(spark, sf_dir):
+    from .plans import mapping
+
+    attributes = {
+        "size": {"source": "{{ p_size }}", "transformation": "integer", "properties": {"unitCode": {"source": "cm"}}},
+        "maker": {"type": "Relationship", "source": "{{ p_brand }}", "target": {"entity": "Brand"}},
+        "words": {"type": "ListProperty", "source": "{{ p_name }}"},
+        "near": {"type": "ListRelationship", "source": "{{ p_size }} {{ p_partkey }}", "target": {"entity": "Part"}},
+        "label": {"type": "LanguageProperty", "languageMap": {"en": {"source": "{{ p_name }}"}, "la": {"source": "{{ p_name | upper }}"}}},
+        "sort": {"type": "VocabProperty", "source": "https://x.example/{{ p_type }}"},
+        "raw": {"type": "JsonProperty", "source": "{{ json }}"},
+        "place": {"type": "GeoProperty", "source": "{{ point }}"},
+        "box": {"mappings": {"brand": {"source": "{{ p_brand }}"}, "deep": {"mappings": {"size": {"source": "{{ p_size }}", "transformation": "integer"}}}}},
+    }
+    m = {"version": "v4", "dataModel": "Part", "identity": {"entityName": "{{ p_partkey }}"}, "attributes": attributes}
+    point = F.format_string('{"type":"Point","coordinates":[%d,%d]}', F.col("p_partkey") % 90, F.col("p_size") % 45)
+    p = _t(spark, sf_dir, "part").withColumns({"json": F.format_string('{"k":%d}', "p_size"), "point": point})
+    return mapping.run(p, m, "p_partkey", "normalized").select("id", "entity")
+
+
+@query("""SELECT event_id, value, 'user' || user_id AS thing, event_type AS key, date_trunc('second', ts) AS t FROM events""")
+def src_33_sensor_observations(spark, sf_dir):
+    from .sources import sensorthings
+
+    e = _t(spark, sf_dir, "events")
+    stream = F.concat(F.col("user_id").cast("string"), F.lit("-"), "event_type")
+    observed = F.format_string('{"datastream":"%s","observation":{"@iot.id":"%d","phenomenonTime":"%s","result":%s}}', stream, "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("value").cast("string"))
+    held = F.format_string('{"datastream":{"@iot.id":"%s","name":"s","ObservedProperty":{"name":"%s"},"Thing":{"@iot.id":"%d","name":"user%d"}}}', stream, "event_type", "user_id", "user_id")
+    streams = e.select(F.lit("datastream").alias("kind"), held.alias("line")).distinct()
+    lines = streams.unionByName(e.select(F.lit("observation").alias("kind"), observed.alias("line"))).select("kind", F.parse_json("line").alias("v"))
+    o = sensorthings.observations(lines)
+    return o.select(F.col("observation").cast("long").alias("event_id"), F.try_variant_get("value", "$", "double").alias("value"), F.col("thing_name").alias("thing"), "key", F.col("at").cast("timestamp_ntz").alias("t"))
+
+
+@query("""SELECT user_id AS thing, event_type AS property, m AS stream, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY m) = 1 THEN event_type ELSE event_type || '@' || m END AS key FROM (SELECT DISTINCT user_id, event_type, event_id % 12 AS m FROM events)""")
+def src_36_reading_keys(spark, sf_dir):
+    from .sources import sensorthings
+
+    e = _t(spark, sf_dir, "events")
+    catalog = e.select(F.lit("datastream").alias("kind"), F.col("user_id").alias("thing"), F.col("event_type").alias("property"), (F.col("event_id") % 12).cast("string").alias("stream"), F.lit(0).alias("position")).distinct()
+    return sensorthings.reading_keys(catalog).select("thing", "property", F.col("stream").cast("long").alias("stream"), "key")
+
+
+@query("""SELECT l_orderkey, max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS two, max(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS three FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) GROUP BY l_orderkey HAVING max(CASE WHEN l_linenumber IN (2, 3) THEN l_quantity END) IS NOT NULL""")
+def src_20_field_records(spark, sf_dir):
+    from .sources import gridded
+
+    fields = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("line")).agg(F.max("l_quantity").alias("l_quantity"))
+    return gridded.pivot_fields(fields, ["l_orderkey"], "line", "l_quantity", ["2", "3"]).toDF("l_orderkey", "two", "three")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size <> 7 AND p_size BETWEEN 3 AND 40 THEN p_size * 0.5 + 10 END AS unpacked, CASE p_partkey % 4 WHEN 0 THEN p_size * 10.0 WHEN 2 THEN p_size * 1000.0 ELSE p_size * 1.0 END AS height, CASE p_partkey % 4 WHEN 0 THEN 'hPa' WHEN 1 THEN 'hPa' WHEN 2 THEN 'm' ELSE 'sigma' END AS unit, CASE WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE CAST(p_size // 2 AS VARCHAR) || '.5' END AS location, p_size / 10.0 AS short FROM part""")
+def src_26_packed_values(spark, sf_dir):
+    from .sources import gridded
+
+    p, size = _t(spark, sf_dir, "part"), F.col("p_size")
+    height, unit = gridded.level(size, F.element_at(F.array(*map(F.lit, ("kPa", "hPa", "km", "sigma"))), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return p.select("p_partkey", gridded.unpack(size, 0.5, 10.0, 7, 3, 40).alias("unpacked"), height.alias("height"), unit.alias("unit"), gridded.location_number(size / 2).alias("location"), gridded.single_precision((size / 10).cast("float")).alias("short"))
+
+
+@query("""SELECT c_custkey, round(6378137.0 * radians(CAST(c_custkey % 100 + 1 AS DOUBLE)), 2) AS metres, '{"type":"Point","coordinates":[' || CAST(c_custkey % 100 AS DOUBLE) || ',' || CAST(c_custkey % 50 AS DOUBLE) || ']}' AS single FROM customer""")
+def geo_07_length_of_equator(spark, sf_dir):
+    c, k = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    line = F.format_string('{"type":"LineString","coordinates":[[%d,0],[%d,0],[%d,0]]}', k % 7, k % 7 + (k % 100 / 2).cast("int"), k % 7 + k % 100 + 1)
+    folded = F.format_string('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[%s,%s]}]}', (k % 100).cast("double").cast("string"), (k % 50).cast("double").cast("string"))
+    return c.select("c_custkey", F.round(geo.length(line), 2).alias("metres"), geo.convert(folded, "Point", "first").alias("single"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 7 AS modulo, round(l_extendedprice / 100) AS whole, l_quantity * 2 - 1 AS twice, abs(l_discount - 1) AS rest FROM lineitem""")
+def mth_19_round_modulo(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem")
+    return _templates(l, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], {"modulo": "{{ l_partkey % 7 }}", "whole": "{{ (l_extendedprice / 100) | round }}", "twice": "{{ l_quantity * 2 - 1 }}", "rest": "{{ (l_discount - 1) | abs }}"})
+
+
+@query("""SELECT o_custkey, list_aggregate(list_sort(list(DISTINCT o_orderstatus)), 'string_agg', ',') AS statuses, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS finished FROM orders GROUP BY o_custkey""")
+def fns_17_grouped_keys(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("orders"))
+    found = _templates(o, ["o_custkey"], {"statuses": "{{ orders | group_by(attribute='o_orderstatus') | keys | sort | join(sep=',') }}", "n": "{{ orders | length }}", "finished": "{{ orders | group_by(attribute='o_orderstatus') | get(key='F', default=[]) | length }}"})
+    return found.withColumns({"n": F.col("n").cast("long"), "finished": F.col("finished").cast("long")})
