@@ -194,7 +194,7 @@ def value(c: Compiler, a: dict, depth: int = 0) -> Column:
         if how in (None, "array", "string"):
             return R.listed(items)
         one = {"integer": casts.integer, "int": casts.integer, "float": casts.float_, "boolean": casts.boolean, "bool": casts.boolean}[how]
-        read = F.transform(items, one)
+        read = F.transform(items, lambda x: one(x))
         # One item that can't be read costs the list.
         return F.when((F.size(items) > 0) & F.forall(read, lambda x: x.isNotNull()), F.to_json(read))
     if len(parts) > 1:

@@ -11,6 +11,7 @@ from .functions import casts, geo, identity, math, temporal, text, units
 from .operators import represent as R
 from .operators import resolve, validate
 from .plans.template import Compiler
+from .sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -693,3 +694,74 @@ def fns_17_grouped_keys(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("orders"))
     found = _templates(o, ["o_custkey"], {"statuses": "{{ orders | group_by(attribute='o_orderstatus') | keys | sort | join(sep=',') }}", "n": "{{ orders | length }}", "finished": "{{ orders | group_by(attribute='o_orderstatus') | get(key='F', default=[]) | length }}"})
     return found.withColumns({"n": F.col("n").cast("long"), "finished": F.col("finished").cast("long")})
+
+
+# Readers, over files written from the tables
+
+
+def _files(df: DataFrame, tag: str, by: str) -> str:
+    """A text file per row of df(by, value)."""
+    path = shared.folder(df.sparkSession, tag)
+    df.write.partitionBy(by).text(path)
+    return path
+
+
+@query("""SELECT c_custkey AS code, c_name AS name, c_acctbal AS balance, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS segment FROM customer""")
+def src_01_csv_scan(spark, sf_dir):
+    from .sources import delimited
+
+    path = shared.folder(spark, "csv")
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")).alias("segment"))
+    c.repartition(3, "code").write.csv(path, header=True, nullValue="")
+    read = lambda n, kind: F.try_variant_get(n, "$", kind).alias(n)
+    return delimited.read_delimited(spark, path).where("_ok").select(read("code", "long"), read("name", "string"), read("balance", "double"), read("segment", "string"))
+
+
+@query("""SELECT c_custkey AS code, c_name AS name, c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS position FROM customer""")
+def src_08_json_records(spark, sf_dir):
+    from .sources import documents
+
+    c = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_nationkey"))).alias("rows"))
+    path = _files(c.select("c_nationkey", F.to_json(F.struct(F.lit("x").alias("source"), "rows")).alias("value")), "json", "c_nationkey")
+    r = documents.read_json(spark, path).withColumn("r", F.from_json("record", "c_custkey long, c_name string, c_nationkey int"))
+    return r.select(F.col("r.c_custkey").alias("code"), F.col("r.c_name").alias("name"), F.col("r.c_nationkey").alias("nation"), "position")
+
+
+@query("""SELECT s_suppkey AS code, s_name AS name, CAST(s_suppkey % 180 AS DOUBLE) AS x, CAST(s_nationkey AS DOUBLE) AS y, 'survey' AS title FROM supplier""")
+def src_10_geojson_features(spark, sf_dir):
+    from .sources import documents
+
+    f = F.format_string('{"type":"Feature","id":%d,"properties":{"name":"%s","none":null},"geometry":{"type":"Point","coordinates":[%d,%d]}}', "s_suppkey", "s_name", F.col("s_suppkey") % 180, "s_nationkey")
+    s = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.concat_ws(",", F.collect_list(f)).alias("features"))
+    path = _files(s.select("s_nationkey", F.concat(F.lit('{"type":"FeatureCollection","title":"survey","features":['), "features", F.lit("]}")).alias("value")), "geojson", "s_nationkey")
+    record = documents.read_geojson(spark, path).select(documents.drop_nulls(F.col("record")).alias("r")).where("get_json_object(r, '$.properties.none') IS NULL")
+    at = lambda p: F.get_json_object("r", p)
+    return record.select(at("$.id").cast("long").alias("code"), at("$.properties.name").alias("name"), at("$.geometry.coordinates[0]").cast("double").alias("x"), at("$.geometry.coordinates[1]").cast("double").alias("y"), at("$.featureCollection.title").alias("title"))
+
+
+@query("""SELECT n_nationkey AS code, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def src_15_xml_records(spark, sf_dir):
+    from .sources import documents
+
+    item = F.format_string('<nation code="%d"><n:name>%s</n:name><empty/><note>a</note><note>b</note></nation>', "n_nationkey", "n_name")
+    n = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat_ws("", F.collect_list(item)).alias("items"))
+    n = n.join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = _files(n.select("r_name", F.concat(F.lit('<list xmlns:n="urn:n"><title>t</title>'), "items", F.lit("</list>")).alias("value")), "xml", "r_name")
+    r = documents.read_xml(spark, path).where("get_json_object(record, '$.note[1]') = 'b' AND get_json_object(record, '$.empty') IS NULL")
+    region = F.regexp_extract(F.url_decode("path"), "r_name=([^/]*)/", 1)
+    return r.select(F.get_json_object("record", "$['@code']").cast("int").alias("code"), F.get_json_object("record", "$.name").alias("name"), F.url_decode(region).alias("region"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN '[' || p_size || ',' || (p_size + 1) || ']' END AS counts, '["' || p_brand || '"]' AS one, CASE WHEN p_size > 25 THEN '[true,false]' ELSE '[false,true]' END AS flags FROM part""")
+def cst_20_list_items(spark, sf_dir):
+    from .plans import mapping
+
+    c = Compiler(_t(spark, sf_dir, "part"), {})
+    listed = lambda source, how=None: mapping.value(c, {"type": "ListProperty", "source": source} | ({"transformation": how} if how else {}))
+    return c.df.select("p_partkey", listed("{{ p_size }} {% if p_partkey % 3 > 0 %}{{ p_size + 1 }}{% else %}n/a{% endif %}", "integer").alias("counts"), listed("{{ p_brand }}").alias("one"), listed("{% if p_size > 25 %}yes 0{% else %}no 1{% endif %}", "boolean").alias("flags"))
+
+
+@query("""SELECT p_partkey, CAST(p_size AS VARCHAR) || 'x' AS str, p_size * 2 AS int, p_retailprice / 2 AS float FROM part""")
+def fns_18_template_casts(spark, sf_dir):
+    out = _templates(_t(spark, sf_dir, "part"), ["p_partkey"], {"str": "{{ (p_size | str) ~ 'x' }}", "int": "{{ (p_size | str | int) * 2 }}", "float": "{{ (p_retailprice | str | float) / 2 }}"})
+    return out.select("p_partkey", "str", F.col("int").cast("long").alias("int"), F.col("float").cast("double").alias("float"))
