@@ -188,7 +188,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     found = found.withColumn("k", best).where(F.col("k") <= top + 1)
     # By ascending (minus score, id): nearest first.
     lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "near"))).alias("near"))
-    ranked = attach(asked.select(F.col("id").alias("query_id"), F.col("entry").alias("query")), lists, ["query"], "inner")
+    ranked = attach(asked.select(F.col("id").alias("query_id"), F.col("entry").alias("query")), materialize(lists, "nearest"), ["query"], "inner")
     own = F.slice(F.expr("filter(near, x -> x.near <> query_id)"), 1, top)
     return ranked.select("query_id", F.posexplode(own).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.near").alias(id_col), (-F.col("x.s")).alias("score"))
 
