@@ -211,92 +211,6 @@ def _cut(column: str):
     return distinct(column)
 
 
-def score(self, texts: pa.Array) -> np.ndarray:
-        of, feature = features_of(texts, pa.array(self.words, pa.string()))
-        z = self.bias + np.bincount(of, weights=self.weights[feature], minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-
-
-def fit(texts: list[str], toxic: np.ndarray, penalty: float = 1.0, ridge: float = 2e-5, rounds: int = 600, rate: float = 0.1) -> Model:
-    """penalty: weight of the mean squared logit change under identity swaps."""
-    toxic = np.asarray(toxic, float)
-    if not len(toxic) or toxic.min() == toxic.max():
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        return Model([], np.zeros(0), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
-    rows = pa.array(texts, pa.large_string())
-    known, of, word = vocabulary(rows)
-    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-    a, b = (np.bincount(word, weights=x[of], minlength=len(known)) for x in (toxic, 1 - toxic))
-    gap = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-    z = np.abs(gap) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    z[(a + b < LEAST) | (z < 2)] = -1
-    terms = pc.is_in(known, value_set=TERMS).to_numpy(zero_copy_only=False)
-    z[terms & (a + b > 0)] = np.inf  # identity terms are features always, for the penalty to hold them
-    chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    chosen = chosen[z[chosen] > 0]
-    number = np.full(len(known), -1)
-    number[chosen] = np.arange(len(chosen))
-    keep = number[word] >= 0
-    of, word = of[keep], number[word[keep]]
-    names = known.take(pa.array(chosen)).to_pylist()
-    place = {w: k for k, w in enumerate(names)}
-    # Swapped pairs: a row for each text that holds a term, and each other term of its kind. The presence of all other
-    # words cancels out, so the change of the logit is the difference of two weights (none for a term never met).
-    pairs: dict[tuple[int, int], float] = {}
-    times = np.bincount(word, minlength=len(names))
-    for group in IDENTITY:
-        for s in group:
-            for t in group:
-                if s != t and (i := place.get(s)) is not None:
-                    pairs[i, place.get(t, -1)] = pairs.get((i, place.get(t, -1)), 0.0) + times[i] / (len(group) - 1)
-    total = sum(pairs.values()) or 1.0
-    left, right = (np.array([p[k] for p in pairs], int) for k in (0, 1))
-    share = np.array(list(pairs.values())) / total
-    weight = np.where(toxic > 0, 0.5 / n1, 0.5 / n0)
-    n, w, bias = len(toxic), np.zeros(len(names) + 1), 0.0  # the last weight stands for no word and stays 0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(bias + np.bincount(of, weights=w[word], minlength=n))))
-        error = (p - toxic) * weight
-        g = np.bincount(word, weights=error[of], minlength=len(w)) + ridge * w
-        if len(share):
-            d = 2 * penalty * share * (w[left] - w[right])
-            np.add.at(g, left, d)
-            np.add.at(g, right, -d)
-        g[-1] = 0
-        gb = error.sum() + 0.01 * (bias - WITHOUT)
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
-        bias -= rate * (mb / (1 - 0.9**k)) / (np.sqrt(vb / (1 - 0.99**k)) + 1e-9)
-    return Model(names, w[:-1], float(bias))
-
-
-def held_out(id_col):
-    """Whether labels of this id are kept from learning: crc32 of the id as text, modulo 3, is 1."""
-    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learnt: int = LEARNT, **settings) -> Model:
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
-    known = known.groupBy("id").agg(F.max("y").alias("y"))
-    some = [known.where(c).orderBy(F.xxhash64("id"), "id").limit(learnt) for c in ("y > 0", "y <= 0")]
-    some = some[0].unionByName(some[1])  # at most twice ``learnt`` rows
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(some), "id")
-    rows = rows.select("id", "y", _cut("text").alias("text")).groupBy("id").agg(F.first("y").alias("y"), F.max("text").alias("text"))  # a repeated id counts once
-    pdf = rows.toPandas().sort_values(["id", "text"])
-    return fit(pdf["text"].tolist(), (pdf["y"] > 0).to_numpy(), **settings)
-
-
-def _cut(column: str):
-    """The distinct words of a text: all that fitting needs of it."""
-
-    @F.pandas_udf("string")
-    def distinct(texts):
-        return texts.map(lambda x: " ".join(sorted(set(x.lower().split()))))
-
-    return distinct(column)
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
