@@ -65,17 +65,19 @@ def release(spark: SparkSession) -> None:
     stand for them are collected, which otherwise happens at no set time. Called a few times an operator, where
     large shuffles lie behind."""
     gc.collect()
+    trim()
     spark._jvm.System.gc()
 
 
 def trim() -> None:
-    """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    """Give memory that this Python process no longer uses back to the system: workers outlive their tasks, and the driver
+    outlives the fitting of models."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def by_bytes(spark: SparkSession, size: int = 16_000_000) -> None:
+def by_bytes(spark: SparkSession, size: int = 4_000_000) -> None:
     """Limit batches that go to Python by bytes, not only by rows: texts may be very long."""
     with contextlib.suppress(Exception):  # a setting of Spark 4.1 on
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

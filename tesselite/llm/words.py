@@ -29,7 +29,7 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def slices(texts: pa.Array, at_once: int = 8_000_000) -> list[pa.Array]:
+def slices(texts: pa.Array, at_once: int = 2_000_000) -> list[pa.Array]:
     """Texts in runs of about so many bytes, one text at least."""
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     out, k = [], 0
