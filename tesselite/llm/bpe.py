@@ -16,7 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 
-#: Chunks that a worker remembers (about 40 bytes each), the longest of them, and characters handled at once.
+#: Chunks that a worker remembers (some 150 bytes each while a batch is looked up), the longest of them, and characters
+#: handled at once.
 MEMO, LONGEST, AT_ONCE = 2_000_000, 64, 16_000_000
 _WHOLE = "[\\x1c-\\x1f\u0085]|<\\||[\\s\\x0b   -     　] "
 _MADE: dict[str, Encoder] = {}
@@ -29,9 +30,10 @@ def _ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO, at_once: int = AT_ONCE):
         from tokenizers import Tokenizer
 
+        self.memo, self.at_once = memo, at_once
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         #: Ids whose token begins with a space: one of them opens each chunk that follows a space.
@@ -68,7 +70,7 @@ class Encoder:
 
     def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A flat array of ids, and where in it each word's ids start and how many they are."""
-        if self.count > MEMO:
+        if self.count > self.memo:
             self.forget()
         if len(self.known) > 1:
             self.known, self.flat, self.lengths = [pa.concat_arrays(self.known)], [np.concatenate(self.flat)], [np.concatenate(self.lengths)]
@@ -104,7 +106,7 @@ class Encoder:
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         k = 0
         while k < len(texts):
-            stop = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + AT_ONCE, side="right")))
+            stop = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + self.at_once, side="right")))
             yield from self._encode(texts.slice(k, stop - k))
             k = stop
 
@@ -132,9 +134,10 @@ class Encoder:
             k += 1
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, memo: int = MEMO, at_once: int = AT_ONCE) -> Encoder:
     """This process's encoder for a tokenizer file (by default the public 50k byte-level vocabulary)."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _MADE:
-        _MADE[path] = Encoder(path)
-    return _MADE[path]
+    key = f"{path} {memo} {at_once}"
+    if key not in _MADE:
+        _MADE[key] = Encoder(path, memo, at_once)
+    return _MADE[key]

@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import BROADCAST_ROWS, materialize, table, text_of
+from .common import BROADCAST_ROWS, by_bytes, materialize, table, text_of, trim
 
 #: Rows of one length that are numbered together.
 NUMBERED = 2_000
+#: Chunks that a worker's encoder remembers, and characters it handles at once.
+MEMO, AT_ONCE = 400_000, 4_000_000
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
@@ -35,7 +37,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     cut; all their pieces but the first are full."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, enc = np.array([end_id], np.uint32), bpe.encoder(tokenizer)
+        end, enc = np.array([end_id], np.uint32), bpe.encoder(tokenizer, MEMO, AT_ONCE)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for name, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
@@ -49,7 +51,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                     start = stop
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
+    by_bytes(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), text_of(text_col))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
