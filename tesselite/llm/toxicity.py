@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import table, text_of, trim
 from .words import hashes, slices, tokens
 
 #: Labelled rows of each kind that are learnt from at most, words that become features at most, the least number of
@@ -191,7 +191,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(some), "id")
     rows = rows.select("id", "y", _cut("text").alias("text")).groupBy("id").agg(F.first("y").alias("y"), F.max("text").alias("text"))  # a repeated id counts once
     pdf = rows.toPandas().sort_values(["id", "text"])
-    return fit(pdf["text"].tolist(), (pdf["y"] > 0).to_numpy(), **settings)
+    texts, toxic = pdf["text"].tolist(), (pdf["y"] > 0).to_numpy()
+    del pdf
+    model = fit(texts, toxic, **settings)
+    del texts
+    trim()
+    return model
 
 
 def _cut(column: str):
