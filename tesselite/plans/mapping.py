@@ -160,6 +160,28 @@ def _joined(c: Compiler, parts: list[Column]) -> Column:
     return texts[0] if len(texts) == 1 else F.concat(*texts)
 
 
+def _several(c: Compiler, sources: list[str], how: str | None) -> Column:
+    """Several parts under one transformation, as JSON text. Numbers and booleans are read from the first part there is;
+    arrays take all items; geometries keep the parts' structure; without a transformation the parts stay as they were
+    read; all else reads the parts there are as one text. Nothing comes of parts whose fields are all absent."""
+    parts = _parts(c, sources)
+    texts = [c.as_text(p) for p in parts]
+    fields = [t for s, t in zip(sources, texts, strict=True) if reads(s)]
+    there = F.coalesce(*[F.when(F.trim(t) != "", F.lit(True)) for t in fields]).isNotNull() if fields else F.lit(True)
+    if how in ("boolean", "bool", "integer", "int", "float"):
+        out = F.coalesce(*[F.when(p.isNotNull(), F.struct(convert(c, p, how).alias("v"))) for p in parts]).getField("v")
+    elif how == "array":
+        out = R.listed(casts.array(*[F.to_json(p) if isinstance(c.kind(p), T.ArrayType) else t for p, t in zip(parts, texts, strict=True)]))
+    elif how is None or how in GEOMETRIES:
+        kept = lambda t: F.when(t.rlike(r"^\s*([\[{]|[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$)"), F.trim(t)).otherwise(R.quoted(t))
+        items = F.filter(F.array(*[_json_value(c, p) if how is None else kept(t) for p, t in zip(parts, texts, strict=True)]), lambda x: x.isNotNull())
+        whole = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+        out = F.when(F.size(items) == 1, F.get(items, F.lit(0))).when(F.size(items) > 1, whole) if how is None else geo.convert(whole, None if how == "geometry" else how)
+    else:
+        out = convert(c, F.nullif(F.concat_ws("", *texts), F.lit("")), how)
+    return F.when(there, out)
+
+
 def _targets(c: Compiler, kind: str, parts: list[Column]) -> Column:
     """Ids of a list's targets, in order, distinct."""
     lists = [p.cast("array<string>") if isinstance(c.kind(p), T.ArrayType) else casts.tokens(c.as_text(p)) for p in parts]
@@ -198,7 +220,7 @@ def value(c: Compiler, a: dict, depth: int = 0) -> Column:
         # One item that can't be read costs the list.
         return F.when((F.size(items) > 0) & F.forall(read, lambda x: x.isNotNull()), F.to_json(read))
     if len(parts) > 1:
-        return convert(c, F.array(*[c.as_text(p) for p in parts]) if how == "array" else _joined(c, parts), how)
+        return _several(c, a["source"], how)
     return convert(c, parts[0], how, a.get("geometry", {}).get("convert"))
 
 

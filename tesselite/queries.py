@@ -531,6 +531,25 @@ def map_02_synthetic_entities(spark, sf_dir):
     return mapping.run(_t(spark, sf_dir, "orders"), m, "o_orderkey", "concise").select("id", "type")
 
 
+@query("""SELECT 'urn:ngsi-ld:Part:' || p_partkey AS id, p_name || CASE WHEN p_size > 25 THEN ' ' || p_brand ELSE ' ' END AS joined, CASE WHEN p_size > 25 THEN p_size ELSE p_partkey END AS first, CASE WHEN p_size > 25 THEN '["' || p_brand || '",' || p_size || ']' ELSE CAST(p_size AS VARCHAR) END AS kept, '["' || CASE WHEN p_size > 25 THEN p_brand || '","' ELSE '' END || p_size || '","' || (p_size + 1) || '"]' AS items, '{"type":"Point","coordinates":[' || (p_partkey % 90) || ',' || p_size || ']}' AS place, CASE WHEN p_size > 25 THEN 'No. ' || p_brand END AS absent FROM part""")
+def prj_10_merged_parts(spark, sf_dir):
+    from .plans import mapping
+
+    attributes = {
+        "joined": {"source": ["{{ p_name }}", " ", "{{ some }}"], "transformation": "string"},
+        "first": {"source": ["{{ large }}", "{{ p_partkey }}"], "transformation": "integer"},
+        "kept": {"source": ["{{ some }}", "{{ p_size }}"]},
+        "items": {"source": ["{{ some }}", "{{ list }}"], "transformation": "array"},
+        "place": {"type": "GeoProperty", "source": ["{{ east }}", "{{ p_size }}"], "transformation": "point"},
+        "absent": {"source": ["No. ", "{{ some }}"], "transformation": "string"},
+    }
+    m = {"version": "v4", "dataModel": "Part", "identity": {"entityName": "{{ p_partkey }}"}, "attributes": attributes}
+    large = F.col("p_size") > 25
+    p = _t(spark, sf_dir, "part").withColumns({"some": F.when(large, F.col("p_brand")), "large": F.when(large, F.col("p_size")), "list": F.format_string("[%d,%d]", F.col("p_size"), F.col("p_size") + 1), "east": F.col("p_partkey") % 90})
+    out = mapping.run(p, m, "p_partkey", "simplified")
+    return out.select("id", *[F.get_json_object("entity", f"$.{n}").cast("int" if n == "first" else "string").alias(n) for n in attributes])
+
+
 # Geometries whose results follow from their corners
 
 _CORNERS = "CAST(c_custkey % 100 AS DOUBLE) AS x, CAST(c_custkey % 50 AS DOUBLE) AS y, CAST(c_custkey % 100 + 1 AS DOUBLE) AS e, CAST(c_custkey % 50 + 2 AS DOUBLE) AS n"

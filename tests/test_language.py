@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,19 @@ def test_mapping_checks():
     for bad in ({**m, "x": 1}, {**m, "version": "v3"}, {**m, "attributes": {"id": {"source": "a"}}}, {**m, "attributes": {"a": {"source": "{{ x | foo"}}}, {**m, "identity": {"entityName": "a", "scope": "b"}}, {**m, "attributes": {"a": {"type": "Relationship", "source": "x"}}}, {**m, "attributes": {"a": {"type": "GeoProperty", "source": "x", "transformation": "integer"}}}):
         with pytest.raises(M.MappingError):
             M.check(bad)
+
+
+def test_several_parts(spark):
+    df = spark.createDataFrame([(1, "x", None, "", "[1, \"\"]"), (2, None, None, "", None), (3, "no", 4, "b", " ")], "pos int, a string, n int, b string, l string")
+    attributes = {
+        "flag": {"source": ["{{ n }}", "{{ a }}"], "transformation": "boolean"},
+        "text": {"source": ["<", "{{ a }}", "{{ n }}", ">"], "transformation": "string"},
+        "kept": {"source": ["{{ n }}", "{{ a }}"]},
+        "items": {"source": ["{{ l }}", "{{ a }}", "{{ b }}"], "transformation": "array"},
+        "at": {"type": "GeoProperty", "source": ["{{ n }}", "{{ n }}"], "transformation": "point"},
+    }
+    m = {"version": "v4", "dataModel": "T", "identity": {"entityName": "{{ pos }}"}, "attributes": attributes}
+    got = {r.id[-1]: json.loads(r.entity) for r in M.run(df, m, "pos", "simplified").collect()}
+    assert got["1"] == {"id": "urn:ngsi-ld:T:1", "type": "T", "text": "<x>", "kept": "x", "items": ["1", "x"]}
+    assert got["2"] == {"id": "urn:ngsi-ld:T:2", "type": "T"}
+    assert got["3"] == {"id": "urn:ngsi-ld:T:3", "type": "T", "flag": True, "text": "<no4>", "kept": [4, "no"], "items": ["no", "b"], "at": {"type": "Point", "coordinates": [4, 4]}}
