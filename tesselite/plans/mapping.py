@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import casts, geo, identity, temporal, units
 from ..functions.geometry import STRATEGIES
 from ..operators import represent as R
-from .template import Compiler, TemplateError, parse, reads
+from .template import Compiler, TemplateError, _Loop, parse, reads
 
 KEYS = {"version", "dataModel", "identity", "scope", "expiresAt", "attributes"}
 #: What each kind of attribute may be converted by.
@@ -27,6 +27,8 @@ CONVERSIONS = ("boolean", "bool", "integer", "int", "float", "string", "iri", "u
 ALLOWED = {"Property": CONVERSIONS, "GeoProperty": GEOMETRIES, "ListProperty": CONVERSIONS, "JsonProperty": ("array", "object", "json"), "LanguageProperty": ("object",), "VocabProperty": ("iri", "urn"), "Relationship": (), "ListRelationship": ()}
 QUALIFIERS = ("observedAt", "expiresAt", "unitCode", "datasetId")
 DEEPEST = 50
+#: The columns of a token's row: the token, and its place in the list.
+TOKEN, PLACE = "__token", "__place"
 
 
 class MappingError(ValueError):
@@ -58,6 +60,8 @@ def check(m: dict, where: str = "mapping") -> dict:
             raise MappingError(f"{at}: unknown conversion {using!r}")
         if kind in ("Relationship", "ListRelationship") and "syntheticEntity" not in a and not a.get("target", {}).get("entity"):
             raise MappingError(f"{at}: target.entity is missing")
+        if kind == "ListRelationship" and "source" not in a:
+            raise MappingError(f"{at}: source is missing")
         if "syntheticEntity" in a:
             check(a["syntheticEntity"], f"{at}.syntheticEntity")
         for source in _sources(a):
@@ -182,11 +186,36 @@ def _several(c: Compiler, sources: list[str], how: str | None) -> Column:
     return F.when(there, out)
 
 
-def _targets(c: Compiler, kind: str, parts: list[Column]) -> Column:
-    """Ids of a list's targets, in order, distinct."""
-    lists = [p.cast("array<string>") if isinstance(c.kind(p), T.ArrayType) else casts.tokens(c.as_text(p)) for p in parts]
-    ids = F.transform(F.flatten(F.array(*lists)), lambda x: identity.urn(kind, x))
-    return F.array_distinct(F.filter(ids, lambda x: x.isNotNull()))
+def _tokens(c: Compiler, source) -> Column:
+    """The tokens that a list's source names, in order."""
+    lists = [p.cast("array<string>") if isinstance(c.kind(p), T.ArrayType) else casts.tokens(c.as_text(p)) for p in _parts(c, source)]
+    return F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))
+
+
+def _per_token(x):
+    """A synthetic mapping that is written once per token, which it reads as ``this[0]``."""
+    if isinstance(x, dict):
+        return {k: _per_token(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_per_token(v) for v in x]
+    return re.sub(r"\bthis\s*\[\s*0\s*\]", TOKEN, x) if isinstance(x, str) else x
+
+
+def _targets(c: Compiler, a: dict) -> Column:
+    """Ids of a list's targets, in order, distinct; those of synthetic entities by the identity of each token's."""
+    if "syntheticEntity" in a:
+        e, typed = _per_token(a["syntheticEntity"]), Compiler(c.df.withColumn(TOKEN, F.lit("")), c.vars)
+
+        def minted(x: Column) -> Column:
+            loop = _Loop(typed, TOKEN, x)
+            return identity.urn(model_name(e), _joined(loop, _parts(loop, e["identity"]["entityName"])))
+
+    else:
+
+        def minted(x: Column) -> Column:
+            return identity.urn(a["target"]["entity"], x)
+
+    return F.array_distinct(F.filter(F.transform(_tokens(c, a["source"]), minted), lambda x: x.isNotNull()))
 
 
 def value(c: Compiler, a: dict, depth: int = 0) -> Column:
@@ -207,7 +236,7 @@ def value(c: Compiler, a: dict, depth: int = 0) -> Column:
             return R.quoted(identity.urn(model_name(e), _joined(c, _parts(c, e["identity"]["entityName"]))))
         return R.quoted(identity.urn(a["target"]["entity"], _joined(c, _parts(c, a["source"]))))
     if kind == "ListRelationship":
-        return R.listed(_targets(c, a["target"]["entity"], _parts(c, a["source"])))
+        return R.listed(_targets(c, a))
     how = a.get("transformation") or {"GeoProperty": "geometry", "VocabProperty": "iri", "JsonProperty": "json"}.get(kind)
     parts = _parts(c, a["source"])
     if kind == "ListProperty":
@@ -343,8 +372,12 @@ def _lambda(fn):
 def synthetics(df: DataFrame, m: dict, pos, vars: dict | None = None) -> list[Entities]:
     """Entities that a record describes beside its own."""
     out = []
+    keys = [pos] if isinstance(pos, str) else list(pos)
     for a in m.get("attributes", {}).values():
-        if "syntheticEntity" in a:
+        if "syntheticEntity" in a and a.get("type") == "ListRelationship":
+            rows = df.select("*", F.posexplode(_tokens(Compiler(df, vars or {}), a["source"])).alias(PLACE, TOKEN))
+            out.append(fragments(rows, _per_token(a["syntheticEntity"]), [*keys, PLACE], vars))
+        elif "syntheticEntity" in a:
             out.append(fragments(df, a["syntheticEntity"], pos, vars))
             out += synthetics(df, a["syntheticEntity"], pos, vars)
     return out
@@ -357,4 +390,5 @@ def run(df: DataFrame, m: dict, pos, representation: str = "normalized", mode: s
     if "*" not in needed:
         df = df.select(*[c for c in df.columns if c in needed or c in keys])
     frames = [to_json(resolve(f, mode), representation, context) for f in [fragments(df, m, pos, vars), *synthetics(df, m, pos, vars)]]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    plain = F.struct(*[F.col("pos").getField(k).alias(k) for k in keys])  # a token's place counts within its record only
+    return reduce(lambda a, b: a.unionByName(b), [f.withColumn("pos", plain) for f in frames])

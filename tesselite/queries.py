@@ -550,6 +550,16 @@ def prj_10_merged_parts(spark, sf_dir):
     return out.select("id", *[F.get_json_object("entity", f"$.{n}").cast("int" if n == "first" else "string").alias(n) for n in attributes])
 
 
+@query("""SELECT 'urn:ngsi-ld:Part:' || p_partkey AS id, CAST(NULL AS VARCHAR) AS label, len(list_distinct(string_split(p_type, ' '))) AS links FROM part UNION ALL SELECT DISTINCT 'urn:ngsi-ld:Word:W-' || w, upper(w), NULL FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part)""")
+def joi_09_synthetic_per_token(spark, sf_dir):
+    from .plans import mapping
+
+    word = {"dataModel": "Word", "identity": {"entityName": "W-{{ this[0] }}"}, "attributes": {"label": {"source": "{{ this[0] | upper }}"}}}
+    m = {"version": "v4", "dataModel": "Part", "identity": {"entityName": "{{ p_partkey }}"}, "attributes": {"words": {"type": "ListRelationship", "source": "{{ p_type }}", "syntheticEntity": word}}}
+    out = mapping.run(_t(spark, sf_dir, "part"), m, "p_partkey", "normalized")
+    return out.select("id", F.get_json_object("entity", "$.label.value").alias("label"), F.json_array_length(F.get_json_object("entity", "$.words.objectList")).cast("long").alias("links"))
+
+
 # Geometries whose results follow from their corners
 
 _CORNERS = "CAST(c_custkey % 100 AS DOUBLE) AS x, CAST(c_custkey % 50 AS DOUBLE) AS y, CAST(c_custkey % 100 + 1 AS DOUBLE) AS e, CAST(c_custkey % 50 + 2 AS DOUBLE) AS n"

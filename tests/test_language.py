@@ -178,3 +178,15 @@ def test_several_parts(spark):
     assert got["1"] == {"id": "urn:ngsi-ld:T:1", "type": "T", "text": "<x>", "kept": "x", "items": ["1", "x"]}
     assert got["2"] == {"id": "urn:ngsi-ld:T:2", "type": "T"}
     assert got["3"] == {"id": "urn:ngsi-ld:T:3", "type": "T", "flag": True, "text": "<no4>", "kept": [4, "no"], "items": ["no", "b"], "at": {"type": "Point", "coordinates": [4, 4]}}
+
+
+def test_synthetic_per_token(spark):
+    df = spark.createDataFrame([(1, "b a, b", "x"), (2, None, "y"), (3, "- c", "z")], "pos int, l string, v string")
+    token = {"dataModel": "K", "identity": {"entityName": "{{ this[0] }}"}, "attributes": {"of": {"source": "{{ v }}"}, "name": {"source": "{{ this[0] }}"}}}
+    m = {"version": "v4", "dataModel": "T", "identity": {"entityName": "{{ pos }}"}, "attributes": {"ks": {"type": "ListRelationship", "source": "{{ l }}", "syntheticEntity": token}}}
+    got = {r.id.removeprefix("urn:ngsi-ld:"): json.loads(r.entity) for r in M.run(df, m, "pos", "normalized").collect()}
+    assert set(got) == {"T:1", "T:2", "T:3", "K:a", "K:b", "K:c"}
+    assert [got[f"T:{k}"].get("ks", {}).get("objectList") for k in (1, 2, 3)] == [["urn:ngsi-ld:K:b", "urn:ngsi-ld:K:a"], None, ["urn:ngsi-ld:K:c"]]
+    assert (got["K:b"]["of"]["value"], got["K:b"]["name"]["value"], got["K:c"]["of"]["value"]) == ("x", "b", "z")
+    with pytest.raises(M.MappingError):
+        M.check({**m, "attributes": {"ks": {"type": "ListRelationship", "syntheticEntity": token}}})
