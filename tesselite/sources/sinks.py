@@ -17,22 +17,32 @@ def extension(framing: str, context: bool) -> str:
 
 
 def write_files(entities: DataFrame, directory: str, framing: str = "line-delimited") -> None:
-    """entities(type, entity): a folder per type. Each part file is whole by itself: lines, or one array."""
+    """entities(type, entity): a folder per type. Each part file is whole by itself: lines, or one array. An array's rows
+    are numbered and sorted by type and number, which is the order that the writer asks for, so that it sorts no further
+    and brackets stay where they belong whatever is spilled."""
     if framing == "line-delimited":
         entities.select("type", "entity").write.partitionBy("type").mode("overwrite").text(directory)
         return
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened: set[str] = set()
+        n = 0
         for pdf in batches:
             out = []
-            for kind, e in zip(pdf["type"], pdf["entity"], strict=True):
-                out.append((kind, ("," if kind in opened else "[") + e))
+            for n, (kind, e) in enumerate(zip(pdf["type"], pdf["entity"], strict=True), n + 1):
+                out.append((kind, ("," if kind in opened else "[") + e, n))
                 opened.add(kind)
-            yield pd.DataFrame(out, columns=["type", "entity"])
-        yield pd.DataFrame([(kind, "]") for kind in sorted(opened)], columns=["type", "entity"])
+            yield pd.DataFrame(out, columns=["type", "entity", "n"])
+        yield pd.DataFrame([(kind, "]", n + 1) for kind in sorted(opened)], columns=["type", "entity", "n"])
 
-    entities.select("type", "entity").mapInPandas(arrays, "type string, entity string").write.partitionBy("type").mode("overwrite").text(directory)
+    framed(entities, arrays).write.partitionBy("type").mode("overwrite").text(directory)
+
+
+def framed(entities: DataFrame, arrays: Callable) -> DataFrame:
+    """Rows that arrays made, in its order within each type."""
+    made = entities.select("type", "entity").mapInPandas(arrays, "type string, entity string, n long")
+    # A type that can't be null keeps its column, and with it the order, through the writer's own projection.
+    return made.withColumn("type", F.coalesce("type", F.lit(""))).sortWithinPartitions("type", "n").select("type", "entity")
 
 
 #: Where operations are posted.

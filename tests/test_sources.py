@@ -151,6 +151,12 @@ def test_files(spark, tmp_path):
     sinks.write_files(df, str(tmp_path / "arrays"), "array")
     (part,) = (tmp_path / "arrays/type=A").glob("part-*")
     assert json.loads(part.read_text()) == [{"id": 1}, {"id": 2}]
+    mixed = spark.range(3000).selectExpr("if(id % 3 = 0, 'A', concat('T', id % 5)) type", "concat('{\"id\":', id, '}') entity").coalesce(1)
+    sinks.write_files(mixed, str(tmp_path / "mixed"), "array")
+    for kind in ("A", "T0", "T4"):
+        (part,) = (tmp_path / f"mixed/type={kind}").glob("part-*")
+        ids = [e["id"] for e in json.loads(part.read_text())]
+        assert ids == sorted(ids) and len(ids) == mixed.where(F.col("type") == kind).count()
 
 
 def test_broker():
