@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Small tables are broadcast only up to this many rows; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Spark's setting (4.1 on) by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +35,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: later uses neither recompute it nor
-    depend on the executors that made it."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    depend on the executors that made it. Spark deletes the shuffle files behind it once it is written."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Steps:

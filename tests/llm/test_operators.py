@@ -6,7 +6,9 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -412,6 +414,26 @@ def test_language_model(spark, none):
     assert language_model.score(none, language_model.held_out(F.col("doc_id"))).count() == 0
 
 
+def test_language_model_leaves_no_shuffle_files_of_written_steps(spark):
+    """By the time the scores are read, the documents and requests that were dealt out are off the disk."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in files if "shuffle_" in f and f.endswith(".data") and os.path.exists(f)}
+
+    before = shuffled()
+    rows = [(k, " ".join(f"w{(k * 7919 + j * j) % 100_003}" for j in range(2_000)), "s") for k in range(100)]
+    got = language_model.score(table(spark, rows), language_model.held_out(F.col("doc_id")))
+    size = sum(len(t) for _, t, _ in rows)
+    for _ in range(100):  # files go in the background
+        left = sum(os.path.getsize(f) for f in shuffled() - before)
+        if left < size / 20:
+            break
+        time.sleep(0.1)
+    assert left < size / 20
+    assert got.count() == len(rows)
+
+
 def test_language_model_by_brute_force(spark, monkeypatch):
     """Scores from plain counts and the learnt shares; the shares against unbinned expectation-maximisation."""
     rng, shares = np.random.default_rng(4), []
