@@ -153,10 +153,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn("__print", F.xxhash64(text_of(text_col)))
     drops = drops.select(F.col("id").alias("__id"), F.col("print").alias("__of"), F.col("dropped").alias("__dropped"))
     rows = rows.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__of")), "left")
-    lines = F.split(text_of(text_col), "\n", -1)
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__dropped")
-    kept = F.concat_ws("\n", F.transform(rest, lambda k: F.get(lines, k)))
-    full = F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).cast("long")
+    # The split lines are a column of their own: within the lambda they would be split anew for every line that stays.
+    rows = rows.withColumn("__lines", F.when(F.col("__dropped").isNotNull(), F.split(text_of(text_col), "\n", -1)))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__dropped")
+    kept = F.concat_ws("\n", F.transform(rest, lambda k: F.get("__lines", k)))
+    full = F.regexp_count(text_of(text_col), F.lit("[^\\x20\\x09-\\x0D][^\\n]*")).cast("long")
     rows = rows.withColumns({"__n": full, "__gone": F.coalesce(F.size("__dropped"), F.lit(0)).cast("long")})
     rows = rows.withColumn(text_col, F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept))
     return rows.select(*docs.columns, F.col("__n").alias("n_lines"), F.col("__gone").alias("n_dropped"))

@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tesselite.llm import bpe, dom, exact_dedup, html_extraction, inverted_multi_index, jaccard, language_model, line_dedup, mixing, packing, token_files, toxicity, wavelet, words
@@ -253,6 +254,26 @@ def test_line_dedup_of_short_lines(spark):
     assert all("版权所有" in r.text for r in line_dedup.line_dedup(table(spark, rows[1:])).collect())  # 59 texts
 
 
+def test_line_dedup_splits_a_text_of_many_lines_once(spark):
+    """Splitting it anew for every line that stays takes minutes."""
+    gone = "this line is in every one of the texts of this test, so it goes " * 3
+    own = [f"own{'abcdefghij'[k % 10]}{k}" if k % 7 else ("", " \t\x0b", "\r", "\x85", "\xa0", "\x1c")[k % 6] for k in range(40_000)]
+    rows = [(k, f"{gone}\nu{'abcd'[k]}", "s") for k in range(4)] + [(9, "\n".join([*own, gone, *own[:3]]), "s")]
+    made = line_dedup.line_dedup(table(spark, rows))
+    began = time.monotonic()
+    got = {r.doc_id: r for r in made.collect()}
+    assert time.monotonic() - began < 15
+    assert [got[k].text for k in range(4)] == [rows[0][1], "ub", "uc", "ud"] and got[9].n_dropped == 1
+    assert got[9].text == "\n".join([*own, *own[:3]])
+    assert got[9].n_lines == sum(bool(WORD.search(x.encode())) for x in [*own, gone, *own[:3]])
+
+
+def test_hashes_of_words():
+    some = pa.array(["", "a", "à", "long " * 100, "x\x00y"])
+    for w in (some, some.slice(1, 3), some.slice(5)):
+        assert words.hashes(w).tolist() == [xxhash.xxh3_64_intdigest(x.encode()) for x in w.to_pylist()]
+
+
 def plain_line_dedup(rows):
     """The docstring's rules, line by line, without hashes."""
     words = lambda line: [t.decode() for t in WORD.findall(line.encode().lower())]
