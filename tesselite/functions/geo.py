@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import geometry as G
@@ -51,6 +51,12 @@ def dms_point(x: Column) -> Column:
     return F.when((lat != "") & in_range(b, a), F.to_json(F.struct(F.lit("Point").alias("type"), F.array(b, a).alias("coordinates"))))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over all cores before kernels run on them, as one task else takes what one row group of a file holds.
+    Best put after the columns have been chosen and before geometries are written."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def _json(fn):
     """Applies fn to each geometry; failures are null."""
 

@@ -573,7 +573,7 @@ def _shape(kind: str, coordinates: str) -> str:
 
 
 def _rectangles(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer").selectExpr("c_custkey", *[x for x in _CORNERS.split(", ")])
+    c = geo.spread(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").selectExpr("c_custkey", *[x for x in _CORNERS.split(", ")])
     at = lambda a, b: F.concat(F.lit("["), F.col(a), F.lit(","), F.col(b), F.lit("]"))
     four = F.concat_ws(",", at("x", "y"), at("e", "y"), at("e", "n"), at("x", "n"))
     return c.withColumns({"four": four, "closed": F.concat_ws(",", four, at("x", "y")), "far": F.concat_ws(",", *[F.concat(F.lit("["), F.col(a) + 3 * i, F.lit(","), F.col(b) + 3 * j, F.lit("]")) for a, b, i, j in (("e", "y", 1, 0), ("e", "y", 2, 0), ("e", "y", 2, 1), ("e", "y", 1, 1), ("e", "y", 1, 0))])})

@@ -122,6 +122,29 @@ def test_geometry():
     assert geometry.reproject({"type": "Point", "coordinates": [1113194.9079, 0]}, "3857")["coordinates"][0] == pytest.approx(10)
 
 
+def test_largest_measures_little(monkeypatch):
+    far = [[[6, 2], [9, 2], [9, 5], [6, 5], [6, 2]]]
+    two = {"type": "MultiPolygon", "coordinates": [SQUARE["coordinates"], far]}
+    assert geometry.area({"type": "Polygon", "coordinates": far}) == pytest.approx(110593201903.18114, rel=1e-12)
+    assert geometry.area({"type": "Polygon", "coordinates": [[[170, 0], [-170, 0], [-170, 10], [170, 10], [170, 0]]]}) == pytest.approx(2474078703809.2007, rel=1e-12)
+    counted, authalic = [], geometry._authalic
+    monkeypatch.setattr(geometry, "_authalic", lambda s: counted.append(s) or authalic(s))
+    assert geometry.convert(two, "polygon", "largest")["coordinates"] == far
+    # Two sides of 20 parts and two of 60, each end of a part once and none along a meridian (before: 640).
+    assert len(counted) == 2 * 21 + 2 * 61
+    counted.clear()
+    assert geometry.convert({"type": "MultiPolygon", "coordinates": [far]}, "polygon", "largest")["coordinates"] == far
+    assert not counted
+
+
+def test_kernels_run_on_all_cores(spark, small):
+    from tesselite.queries import QUERIES
+
+    # The file is one row group, which one task would take whole.
+    for name in ("geo_13_area_strategies", "geo_19_points_and_parts"):
+        assert QUERIES[name](spark, small).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_geo_columns(spark):
     got = spark.range(1).select(geo.geohash(F.lit(57.64911), F.lit(10.40744), 11).alias("h"), geo.dms_point(F.lit("46°03'04\"N 14°30'22\"E")).alias("d"), geo.convert(F.lit("nonsense"), "point").alias("n")).first()
     assert got.h == "u4pruydqqvj"
