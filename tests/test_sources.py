@@ -122,6 +122,16 @@ def test_netcdf():
     assert gridded.decode_time([1.5], "hours since 2000-01-01 00:00:00") == ["2000-01-01T01:30:00Z"]
 
 
+def test_pivot_fields(spark):
+    rows = [(1, "a", None), (1, "a", 2.5), (1, "b", float("inf")), (1, "c", 7.0), (2, "b", None), (3, "c", 1.0), (3, None, 1.0), (4, "b", 0.0), (None, "a", 4.0)]
+    out = gridded.pivot_fields(spark.createDataFrame(rows, "cell int, name string, v double"), ["cell"], "name", "v", ["a", "b", "absent"])
+    assert out.columns == ["cell", "a", "b", "absent"]
+    assert {tuple(r) for r in out.collect()} == {(1, 2.5, float("inf"), None), (4, None, 0.0, None), (None, 4.0, None, None)}
+    # Other fields go before grouping, and there is one grouping: each holds its groups in a task's memory.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Filter" in plan.split("Aggregate")[1]
+
+
 def test_static_merge(spark):
     df = spark.createDataFrame([("K", 1, None), ("K", 2, 5)], "id string, pos int, a int")
     assert resolve.static_merge(df, "id", "pos", ["a"]).first().a is None
