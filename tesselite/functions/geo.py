@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from . import geometry as G
 
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
+#: Made once: json.dumps makes an encoder at each call that names separators.
+_text = json.JSONEncoder(separators=(",", ":")).encode
+#: What makes a geometry null.
+FAILURES = (G.GeometryError, ValueError, TypeError, KeyError, IndexError)
 
 
 def geohash(lat: Column, lon: Column, precision: int = 9) -> Column:
@@ -63,7 +67,7 @@ def _json(fn):
     def one(x):
         try:
             return fn(G.load(x)) if x is not None else None
-        except (G.GeometryError, ValueError, TypeError, KeyError, IndexError):
+        except FAILURES:
             return None
 
     return one
@@ -94,7 +98,7 @@ def apply(name: str, x: Column) -> Column:
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         found = [_json(kernel)(v) for v in values]
-        return pd.Series([None if g is None else json.dumps(g, separators=(",", ":")) for g in found], dtype="object")
+        return pd.Series([None if g is None else _text(g) for g in found], dtype="object")
 
     return run(x)
 
@@ -107,19 +111,41 @@ def bbox(x: Column) -> Column:
     return run(x)
 
 
+def _converted(v, to: str | None, using: str | None, settled: dict | None = None) -> str | None:
+    try:
+        return None if v is None else _text(G.turned(G.settled(v, to) if settled is None else settled, to, using))
+    except FAILURES:
+        return None
+
+
 def convert(x: Column, to: str | None = None, using: str | None = None) -> Column:
     if using is not None and using not in G.STRATEGIES:
         raise ValueError(f"unknown strategy {using!r}")
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            try:
-                out.append(None if v is None else json.dumps(G.convert(v, to, using), separators=(",", ":")))
-            except (G.GeometryError, ValueError, TypeError, KeyError, IndexError):
-                out.append(None)
-        return pd.Series(out, dtype="object")
+        return pd.Series([_converted(v, to, using) for v in values], dtype="object")
+
+    return run(x)
+
+
+def conversions(x: Column, ways: dict[str, tuple[str | None, str | None]]) -> Column:
+    """Several conversions of each geometry, which is read and checked once for all: a struct of texts by name."""
+    for _, using in ways.values():
+        if using is not None and using not in G.STRATEGIES:
+            raise ValueError(f"unknown strategy {using!r}")
+
+    def each(v):
+        try:
+            # Raw coordinates have no type before one is asked for.
+            g = None if v is None or v.lstrip().startswith("[") else G.settled(v)
+        except FAILURES:
+            v = g = None
+        return [_converted(v, to, using, g) for to, using in ways.values()]
+
+    @F.pandas_udf(", ".join(f"`{n}` string" for n in ways))
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([each(v) for v in values], columns=list(ways), dtype="object")
 
     return run(x)
 

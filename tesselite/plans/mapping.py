@@ -383,12 +383,21 @@ def synthetics(df: DataFrame, m: dict, pos, vars: dict | None = None) -> list[En
     return out
 
 
+def _geometric(m) -> bool:
+    """Whether some value goes through the geometry kernels."""
+    if isinstance(m, dict):
+        return m.get("type") == "GeoProperty" or m.get("transformation") in GEOMETRIES or any(map(_geometric, m.values()))
+    return any(map(_geometric, m)) if isinstance(m, list) else isinstance(m, str) and "geo_" in m
+
+
 def run(df: DataFrame, m: dict, pos, representation: str = "normalized", mode: str = "current", vars: dict | None = None, context: str | None = None) -> DataFrame:
     """Records to entities, synthetic ones included."""
     needed = columns_read(m)
     keys = [pos] if isinstance(pos, str) else list(pos)
     if "*" not in needed:
         df = df.select(*[c for c in df.columns if c in needed or c in keys])
+    if _geometric(m):
+        df = geo.spread(df)
     frames = [to_json(resolve(f, mode), representation, context) for f in [fragments(df, m, pos, vars), *synthetics(df, m, pos, vars)]]
     plain = F.struct(*[F.col("pos").getField(k).alias(k) for k in keys])  # a token's place counts within its record only
     return reduce(lambda a, b: a.unionByName(b), [f.withColumn("pos", plain) for f in frames])

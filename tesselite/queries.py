@@ -428,7 +428,8 @@ def geo_01_geohash_grid(spark, sf_dir):
 
 @query("""SELECT c_custkey, x + 0.5 AS cx, y + 1.0 AS cy, x AS w, y AS s, x + 1 AS e, y + 2 AS n FROM (SELECT c_custkey, CAST(c_custkey % 100 AS DOUBLE) AS x, CAST(c_custkey % 50 AS DOUBLE) AS y FROM customer)""")
 def geo_16_bbox_center(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 100).cast("double").alias("x"), (F.col("c_custkey") % 50).cast("double").alias("y"))
+    c = geo.spread(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    c = c.select("c_custkey", (F.col("c_custkey") % 100).cast("double").alias("x"), (F.col("c_custkey") % 50).cast("double").alias("y"))
     g = F.format_string('{"type":"Polygon","coordinates":[[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]}', "x", "y", F.col("x") + 1, "y", F.col("x") + 1, F.col("y") + 2, "x", F.col("y") + 2, "x", "y")
     c = c.withColumn("g", g)
     mid = F.from_json(geo.convert(F.col("g"), "point", "bbox-center"), "coordinates array<double>")
@@ -588,14 +589,16 @@ def geo_13_area_strategies(spark, sf_dir):
     c = _rectangles(spark, sf_dir)
     g = _json("Polygon", "[[", "closed", "]]")
     ways = {"centroid": ("Point", "centroid"), "inside": ("Point", "point-on-surface"), "first_vertex": ("Point", "first-vertex"), "exterior": ("LineString", "exterior-ring"), "boundary": ("LineString", "boundary"), "hull": ("Polygon", "convex-hull"), "envelope": ("Polygon", "envelope"), "vertices": ("MultiPoint", "vertices")}
-    return c.select("c_custkey", *[geo.convert(g, to, using).alias(n) for n, (to, using) in ways.items()])
+    return c.select("c_custkey", geo.conversions(g, ways).alias("made")).select("c_custkey", "made.*")
 
 
 @query(f"""SELECT c_custkey, {_shape("LineString", f"'[' || {_FOUR} || ']'")} AS line, {_shape("Polygon", f"'[[' || {_CLOSED} || ']]'")} AS ring, {_shape("Polygon", f"'[[' || {_CLOSED} || ']]'")} AS first, {_shape("Polygon", "'[[' || " + " || ',' || ".join(_AT.format(f"e + {3 * i}", f"y + {3 * j}") for i, j in ((1, 0), (2, 0), (2, 1), (1, 1), (1, 0))) + " || ']]'")} AS largest, {_shape("MultiPolygon", f"'[[[' || {_CLOSED} || ']]]'")} AS promoted FROM (SELECT c_custkey, {_CORNERS} FROM customer)""")
 def geo_19_points_and_parts(spark, sf_dir):
     c = _rectangles(spark, sf_dir).withColumn("two", F.concat(F.lit("[["), F.col("closed"), F.lit("]],[["), F.col("far"), F.lit("]]")))
     points, areas = _json("MultiPoint", "[", "four", "]"), _json("MultiPolygon", "[", "two", "]")
-    return c.select("c_custkey", geo.convert(points, "LineString", "connect").alias("line"), geo.convert(points, "Polygon", "ring").alias("ring"), geo.convert(areas, "Polygon", "first").alias("first"), geo.convert(areas, "Polygon", "largest").alias("largest"), geo.convert(_json("Polygon", "[[", "closed", "]]"), "MultiPolygon").alias("promoted"))
+    lines, parts = geo.conversions(points, {"line": ("LineString", "connect"), "ring": ("Polygon", "ring")}), geo.conversions(areas, {"first": ("Polygon", "first"), "largest": ("Polygon", "largest")})
+    made = c.select("c_custkey", lines.alias("lines"), parts.alias("parts"), geo.convert(_json("Polygon", "[[", "closed", "]]"), "MultiPolygon").alias("promoted"))
+    return made.select("c_custkey", "lines.*", "parts.*", "promoted")
 
 
 @query("""SELECT c_custkey, '{"type":"Point","coordinates":[' || CAST(-(c_custkey % 170 + 0.25) AS DOUBLE) || ',' || CAST(c_custkey % 80 + 0.5 AS DOUBLE) || ']}' AS point, c_custkey % 400 - 200 BETWEEN -180 AND 180 AND c_custkey % 200 - 100 BETWEEN -90 AND 90 AS fits FROM customer""")
@@ -706,7 +709,7 @@ def src_26_packed_values(spark, sf_dir):
 
 @query("""SELECT c_custkey, round(6378137.0 * radians(CAST(c_custkey % 100 + 1 AS DOUBLE)), 2) AS metres, '{"type":"Point","coordinates":[' || CAST(c_custkey % 100 AS DOUBLE) || ',' || CAST(c_custkey % 50 AS DOUBLE) || ']}' AS single FROM customer""")
 def geo_07_length_of_equator(spark, sf_dir):
-    c, k = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = geo.spread(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey"), F.col("c_custkey")
     line = F.format_string('{"type":"LineString","coordinates":[[%d,0],[%d,0],[%d,0]]}', k % 7, k % 7 + (k % 100 / 2).cast("int"), k % 7 + k % 100 + 1)
     folded = F.format_string('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[%s,%s]}]}', (k % 100).cast("double").cast("string"), (k % 50).cast("double").cast("string"))
     return c.select("c_custkey", F.round(geo.length(line), 2).alias("metres"), geo.convert(folded, "Point", "first").alias("single"))

@@ -141,10 +141,33 @@ def test_kernels_run_on_all_cores(spark, small):
     from tesselite.queries import QUERIES
 
     # The file is one row group, which one task would take whole.
-    for name in ("geo_13_area_strategies", "geo_19_points_and_parts"):
+    for name in ("geo_07_length_of_equator", "geo_13_area_strategies", "geo_16_bbox_center", "geo_19_points_and_parts"):
         assert QUERIES[name](spark, small).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_conversions_read_once(spark, small):
+    from tesselite.queries import QUERIES
+
+    ways = {"same": ("geometry", None), "centre": ("point", "centroid"), "line": ("linestring", "exterior-ring"), "ring": ("polygon", "ring"), "larger": ("polygon", "largest"), "typed": ("multipoint", None)}
+    odd = [None, "", " ", "nonsense", "5", "[", "[[0,0],[1,1]]", ' [[[0,0],[1,0],[1,1]]]', "[1,2]", json.dumps(SQUARE), '{"type":"Polygon","coordinates":[]}', '{"type":"Polygon","coordinates":[[[0,0],[0,1],[1,1]]]}', '{"type":"Point","coordinates":[200,0]}', '{"type":"Point","coordinates":null}', '{"type":"Feature","geometry":{"type":"MultiPoint","coordinates":[[1,2],[3,4],[3,5]]}}', '{"type":"GeometryCollection","geometries":[]}', '{"type":"LineString","coordinates":[[0,0],[2,1]]}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string")
+    got = df.select("i", geo.conversions(F.col("x"), ways).alias("made")).select("i", "made.*").orderBy("i").collect()
+    assert got == df.select("i", *[geo.convert(F.col("x"), *way).alias(n) for n, way in ways.items()]).orderBy("i").collect()
+    assert got[9].centre == '{"type":"Point","coordinates":[0.5,0.5]}' and got[6].typed and not any(got[3][1:])
+    with pytest.raises(ValueError, match="unknown"):
+        geo.conversions(F.col("x"), {"a": ("point", "no-such-way")})
+    plan = QUERIES["geo_13_area_strategies"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan
+
+
+@pytest.mark.parametrize("attribute,dealt", [({"type": "GeoProperty", "source": "{{ g }}"}, 1), ({"source": "{{ g }}", "transformation": "point"}, 1), ({"source": "{{ geo_area(value=g) }}"}, 1), ({"source": "{{ g }}"}, 0)])
+def test_mapped_geometries_run_on_all_cores(spark, attribute, dealt):
+    df = spark.range(1).select("id", F.lit('{"type":"Point","coordinates":[1,2]}').alias("g"))
+    out = M.run(df, {"version": "v4", "dataModel": "A", "identity": {"entityName": "{{ id }}"}, "attributes": {"p": attribute}}, "id")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == dealt
+    assert out.first().id == "urn:ngsi-ld:A:0"
+
+
 def test_geo_columns(spark):
     got = spark.range(1).select(geo.geohash(F.lit(57.64911), F.lit(10.40744), 11).alias("h"), geo.dms_point(F.lit("46°03'04\"N 14°30'22\"E")).alias("d"), geo.convert(F.lit("nonsense"), "point").alias("n")).first()
     assert got.h == "u4pruydqqvj"
